@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encode_decode
 from tessera.llm.common import read
+from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.substring_dedup import remove_repeats
 from tessera.llm.token_counts import token_counts
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "is_first")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -43,6 +48,7 @@ FROM d LEFT JOIN c USING (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_near_dedup": op2_near_dedup,
         "op7_bpe": op7_bpe,
         "op9_token_counts": op9_token_counts,
         "op10_substring_dedup": op10_substring_dedup,
