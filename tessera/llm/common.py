@@ -7,13 +7,15 @@ meet with a chance of about n * n / 2**65.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,6 +181,43 @@ def column(table: pa.Table, name: str) -> pa.Array:
     return got if isinstance(got, pa.Array) else pa.concat_arrays(got.chunks) if got.num_chunks else pa.array([], got.type)
 
 
+def block_numbers() -> Iterator[int]:
+    """Numbers for the blocks of this task, the same ones if the task runs again."""
+    task = TaskContext.get()
+    first = (task.partitionId() if task else 0) << 32
+    return itertools.count(first)
+
+
+def sum_blocks(batches: Iterator[pa.RecordBatch], kind: type, finish: Callable[[dict, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add up the sums (binary, of a kind) of each block, and the single values (user, value); finish(head, sums) makes a block's rows.
+
+    A block's head is its row whose doc_ids isn't null.
+    """
+    sums: dict[int, np.ndarray] = {}
+    heads: dict[int, dict] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            block = row["block"]
+            if row["doc_ids"] is not None:
+                heads[block] = row
+                more = np.zeros(len(row["doc_ids"]) // 8, kind)
+            elif row["sums"] is not None:
+                more = np.frombuffer(row["sums"], kind)
+            else:
+                more = np.zeros(row["user"] + 1, kind)
+                more[row["user"]] = row["value"]
+            have = sums.get(block)
+            if have is None:
+                sums[block] = more.copy()
+            elif len(have) >= len(more):
+                have[: len(more)] += more
+            else:
+                sums[block] = more.copy()
+                sums[block][: len(have)] += have
+    for block, head in heads.items():
+        yield finish(head, sums[block])
+
+
 def input_bytes(df: DataFrame) -> int:
     """Spark's estimate of a frame's size, 0 if it has none (such as for rows from Python)."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -186,9 +225,9 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def bucket_count(df: DataFrame, bucket_bytes: int = 8 << 20) -> int:
-    """Buckets of an exchange: twice the shuffle partitions, more if the input is larger than that many buckets."""
+    """Buckets of an exchange: the shuffle partitions, more if the input is larger than that many buckets."""
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2 * shuffle, -(-input_bytes(df) // bucket_bytes))
+    return max(shuffle, -(-input_bytes(df) // bucket_bytes))
 
 
 def by_bucket(df: DataFrame, n: int) -> DataFrame:

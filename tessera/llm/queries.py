@@ -10,11 +10,29 @@ from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encode_decode
 from tessera.llm.common import read
+from tessera.llm.lm_scoring import backoff_scores
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.substring_dedup import remove_repeats
 from tessera.llm.token_counts import token_counts
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = backoff_scores(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.round("score", 4).alias("score"))
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT doc_id, w[p] AS b, CASE WHEN p > 1 THEN w[p - 1] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+uni AS (SELECT b, count(*) AS n FROM t GROUP BY b),
+bi AS (SELECT a, b, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY a, b),
+con AS (SELECT a, sum(n) AS n FROM bi GROUP BY a),
+s AS (SELECT doc_id, sum(CASE WHEN t.a IS NULL THEN ln(uni.n / (SELECT count(*) FROM t)) ELSE ln(bi.n) - ln(con.n) END) AS score
+      FROM t LEFT JOIN bi ON t.a = bi.a AND t.b = bi.b LEFT JOIN con ON t.a = con.a LEFT JOIN uni ON t.a IS NULL AND t.b = uni.b GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, round(coalesce(score, 0), 4) AS score FROM d LEFT JOIN s USING (doc_id)
+"""
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "is_first")
 
@@ -48,6 +66,7 @@ FROM d LEFT JOIN c USING (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op2_near_dedup": op2_near_dedup,
         "op7_bpe": op7_bpe,
         "op9_token_counts": op9_token_counts,
@@ -56,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_substring_dedup": OP10_SQL}
+    return {"op1_lm_scoring": OP1_SQL, "op10_substring_dedup": OP10_SQL}
