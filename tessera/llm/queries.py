@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encode_decode
 from tessera.llm.common import read
+from tessera.llm.decontamination import find_items
 from tessera.llm.lm_scoring import backoff_scores
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.substring_dedup import remove_repeats
@@ -37,6 +38,21 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "is_first")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shared", "n_runs", "containment")
+
+
+OP3_SQL = r"""
+WITH t AS (SELECT 'd' AS k, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+w AS (SELECT k, id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM t),
+r AS (SELECT DISTINCT k, id, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT k, id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS p FROM w)),
+n AS (SELECT id, count(*) AS n_runs FROM r WHERE k = 'b' GROUP BY id),
+m AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM r d JOIN r b USING (s) WHERE d.k = 'd' AND b.k = 'b' GROUP BY d.id, b.id)
+SELECT doc_id, item_id, n_shared, n_runs, n_shared / n_runs AS containment FROM m JOIN n ON item_id = n.id WHERE n_shared >= 0.8 * n_runs
+"""
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -68,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
         "op2_near_dedup": op2_near_dedup,
+        "op3_decontamination": op3_decontamination,
         "op7_bpe": op7_bpe,
         "op9_token_counts": op9_token_counts,
         "op10_substring_dedup": op10_substring_dedup,
@@ -75,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lm_scoring": OP1_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op1_lm_scoring": OP1_SQL, "op3_decontamination": OP3_SQL, "op10_substring_dedup": OP10_SQL}
