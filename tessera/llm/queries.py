@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import toxicity
 from tessera.llm.bpe import encode_decode
 from tessera.llm.common import read
 from tessera.llm.decontamination import find_items
@@ -53,6 +54,14 @@ SELECT doc_id, item_id, n_shared, n_runs, n_shared / n_runs AS containment FROM
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    out = toxicity.score(docs.select("doc_id", "text", "lang"), model).withColumn("threshold", toxicity.threshold(model, F.col("lang")))
+    predicted = (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), predicted, (F.col("toxicity") >= F.col("threshold")).alias("toxic_by_lang"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -85,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lm_scoring": op1_lm_scoring,
         "op2_near_dedup": op2_near_dedup,
         "op3_decontamination": op3_decontamination,
+        "op6_toxicity": op6_toxicity,
         "op7_bpe": op7_bpe,
         "op9_token_counts": op9_token_counts,
         "op10_substring_dedup": op10_substring_dedup,
