@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import toxicity
+from tessera.llm import license_scan, toxicity
 from tessera.llm.bpe import encode_decode
 from tessera.llm.common import read
 from tessera.llm.decontamination import find_items
@@ -54,6 +54,11 @@ SELECT doc_id, item_id, n_shared, n_runs, n_shared / n_runs AS containment FROM
 """
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "digest", "license", F.array_join("notices", ",").alias("notices"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
@@ -94,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lm_scoring": op1_lm_scoring,
         "op2_near_dedup": op2_near_dedup,
         "op3_decontamination": op3_decontamination,
+        "op5_license_scan": op5_license_scan,
         "op6_toxicity": op6_toxicity,
         "op7_bpe": op7_bpe,
         "op9_token_counts": op9_token_counts,
@@ -102,4 +108,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lm_scoring": OP1_SQL, "op3_decontamination": OP3_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op1_lm_scoring": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_license_scan": license_scan.oracle(), "op10_substring_dedup": OP10_SQL}
