@@ -2,8 +2,9 @@
 
 A block of documents is cut to pre-tokens; each distinct pre-token of the block goes once, with its
 frequency in each document, to the bucket of its hash. There the pieces of a pre-token are counted
-once, the count is joined to the frequencies, and every document's sum leaves the bucket; the sums of
-a document meet in an aggregation. A frequent pre-token travels once a block, however often it occurs.
+once and the count is joined to the frequencies; the sums of a block's documents leave the bucket
+together and meet those of the other buckets. A frequent pre-token travels once a block, however often
+it occurs.
 
 Defined cases: a null text counts as an empty one (0 bytes, 0 tokens); a null doc_id is kept; repeated
 rows give a row each; an empty table gives an empty result.
@@ -22,12 +23,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blocks, bucket_count, by_bucket, column
+from tessera.llm.common import block_numbers, blocks, bucket_count, by_bucket, column, sum_blocks
 
 # The pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_PARTS = {"offsets": np.int32, "uses": np.int32, "rows": np.uint16, "times": np.int32}
-_SENT = "bucket int, doc_ids binary, nulls binary, hashes binary, sizes binary, pieces binary, " + ", ".join(f"{k} binary" for k in _PARTS)
+_PARTS = {"offsets": np.int32, "uses": np.int32, "users": np.uint16, "times": np.int32}
+_SENT = "bucket int, block long, doc_ids binary, nulls binary, sizes binary, n_docs int, pieces binary, " + ", ".join(f"{k} binary" for k in _PARTS)
+_SUMS = "block long, doc_ids binary, nulls binary, sizes binary, sums binary"
 
 
 @functools.cache
@@ -58,69 +60,58 @@ def pre_tokens(text: str, path: str, find=regex.compile(PATTERN).findall) -> lis
 
 
 def _send(batches: Iterator[pa.RecordBatch], path: str, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("bucket", pa.int32())] + [(n, pa.binary()) for n in ("doc_ids", "nulls", "hashes", "sizes", "pieces", *_PARTS)])
-    for block in blocks(batches):
-        texts = [t or "" for t in column(block, "text").to_pylist()]
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.binary()), ("nulls", pa.binary()), ("sizes", pa.binary()), ("n_docs", pa.int32())] + [(n, pa.binary()) for n in ("pieces", *_PARTS)])
+    for block, table in zip(block_numbers(), blocks(batches)):
+        texts = [t or "" for t in column(table, "text").to_pylist()]
         found = [pre_tokens(t, path) for t in texts]
         owner = np.repeat(np.arange(len(found)), list(map(len, found)))
         code, distinct = pd.factorize(np.array([x for f in found for x in f] + [None], object)[:-1])
         pair, times = np.unique(code.astype(np.int64) << 12 | owner, return_counts=True)
         home = (pd.util.hash_array(distinct, categorize=False) % np.uint64(n_buckets)).astype(np.int64) if len(distinct) else np.empty(0, np.int64)
-        order = np.lexsort((pair, home[pair >> 12]))
-        pair, times = pair[order], times[order]
         bucket = home[pair >> 12]
-        ids, hashes = column(block, "doc_id"), column(block, "text_hash").to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        pair, times, bucket = pair[order], times[order], bucket[order]
+        ids = column(table, "doc_id")
         sizes = np.array([len(t.encode()) for t in texts], np.int64)
-        lone = ids.is_null().to_numpy(zero_copy_only=False)
-        ids = ids.fill_null(0).to_numpy()
-        rows = [(i, x) for i, x in enumerate(np.split(np.arange(len(pair)), np.flatnonzero(np.diff(bucket)) + 1))] if len(pair) else []
-        out = []
-        for _, at in rows:
-            docs, row = np.unique(pair[at] & 4095, return_inverse=True)
-            piece, uses = np.unique(pair[at] >> 12, return_counts=True)  # ascending as in at
+        rows = [(block % n_buckets, block, ids.fill_null(0).to_numpy().tobytes(), ids.is_null().to_numpy(zero_copy_only=False).tobytes(), sizes.tobytes(), len(texts), None, None, None, None, None)]
+        cuts = np.append(np.flatnonzero(np.append(True, np.diff(bucket) != 0)), len(pair)) if len(pair) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            piece, uses = np.unique(pair[a:b] >> 12, return_counts=True)  # ascending as the pairs are
             text = pa.array(distinct[piece], pa.string())
             data = text.buffers()[2]
-            out.append((int(bucket[at[0]]), ids[docs], lone[docs], hashes[docs], np.full(len(docs), -1, np.int64), data.to_pybytes() if data else b"", np.frombuffer(text.buffers()[1], np.int32)[: len(text) + 1], uses, row, times[at]))
-        # every document's own size, so that texts without tokens count too
-        for b, docs in _spread(len(texts), n_buckets):
-            out.append((b, ids[docs], lone[docs], hashes[docs], sizes[docs], b"", np.zeros(1, np.int32), [], [], []))
-        kinds = [None, np.int64, bool, np.int64, np.int64, None, *_PARTS.values()]
-        cols = list(zip(*[[v if k is None else np.asarray(v).astype(k).tobytes() for v, k in zip(r, kinds)] for r in out]))
-        if cols:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-
-
-def _spread(n: int, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    step = -(-n // n_buckets)
-    for i, at in enumerate(range(0, n, step)):
-        yield i, np.arange(at, min(n, at + step))
+            parts = {"offsets": np.frombuffer(text.buffers()[1], np.int32)[: len(text) + 1], "uses": uses, "users": pair[a:b] & 4095, "times": times[a:b]}
+            rows.append((int(bucket[a]), block, None, None, None, len(texts), data.to_pybytes() if data else b"", *(parts[k].astype(kind).tobytes() for k, kind in _PARTS.items())))
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Pieces of each distinct pre-token of a bucket, counted once, summed for each document of a block."""
     encode, known = tokenizer(path).encode_batch_fast, {}
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_bytes", pa.int64()), ("n_rows", pa.int64()), ("n_tokens", pa.int64())])
+    schema = pa.schema([("block", pa.int64())] + [(n, pa.binary()) for n in ("doc_ids", "nulls", "sizes", "sums")])
     for batch in batches:
         for row in batch.to_pylist():
-            docs = np.frombuffer(row["doc_ids"], np.int64)
-            sizes = np.frombuffer(row["sizes"], np.int64)
-            offsets, uses, rows, times = (np.frombuffer(row[k], kind) for k, kind in _PARTS.items())
-            pieces = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(row["offsets"]), pa.py_buffer(row["pieces"])).to_pylist()
-            new = [p for p in pieces if p not in known]
-            if new:
-                known.update(zip(new, (len(e) for e in encode(new, add_special_tokens=False))))
-            each = np.repeat(np.array([known[p] for p in pieces], np.int64), uses)
-            sums = np.bincount(rows, weights=each * times, minlength=len(docs)).astype(np.int64)
-            own = sizes >= 0
-            yield pa.record_batch([pa.array(docs, mask=np.frombuffer(row["nulls"], bool)), pa.array(np.frombuffer(row["hashes"], np.int64)), pa.array(np.where(own, sizes, 0)), pa.array(own.astype(np.int64)), pa.array(sums)], schema=schema)
+            sums = None
+            if row["doc_ids"] is None:
+                offsets, uses, users, times = (np.frombuffer(row[k], kind) for k, kind in _PARTS.items())
+                pieces = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(row["offsets"]), pa.py_buffer(row["pieces"])).to_pylist()
+                new = [p for p in pieces if p not in known]
+                if new:
+                    known.update(zip(new, (len(e) for e in encode(new, add_special_tokens=False))))
+                each = np.repeat(np.array([known[p] for p in pieces], np.int64), uses)
+                sums = np.bincount(users, weights=each * times, minlength=row["n_docs"]).astype(np.int64).tobytes()
+            yield pa.record_batch([pa.array([v], f.type) for v, f in zip((row["block"], row["doc_ids"], row["nulls"], row["sizes"], sums), schema)], schema=schema)
+
+
+def _finish(head: dict, sums: np.ndarray) -> pa.RecordBatch:
+    ids = pa.array(np.frombuffer(head["doc_ids"], np.int64), mask=np.frombuffer(head["nulls"], bool))
+    return pa.record_batch([ids, pa.array(np.frombuffer(head["sizes"], np.int64)), pa.array(sums)], names=["doc_id", "n_bytes", "n_tokens"])
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each row, for the byte-level BPE vocabulary in a file of the tokenizers library."""
     n = bucket_count(docs)
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sent = base.mapInArrow(lambda it: _send(it, path, n), _SENT)
-    parts = by_bucket(sent, n).mapInArrow(lambda it: _count(it, path), "doc_id long, text_hash long, n_bytes long, n_rows long, n_tokens long")
-    sums = parts.groupBy("doc_id", "text_hash").agg(*[F.sum(c).alias(c) for c in ("n_bytes", "n_rows", "n_tokens")])
-    each = sums.select("doc_id", F.expr("n_bytes div n_rows").alias("n_bytes"), F.expr("n_tokens div n_rows").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("n_rows"))))
+    parts = by_bucket(sent, n).mapInArrow(lambda it: _count(it, path), _SUMS)
+    each = parts.repartition("block").mapInArrow(lambda it: sum_blocks(it, np.int64, _finish), "doc_id long, n_bytes long, n_tokens long")
     return each.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
