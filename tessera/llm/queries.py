@@ -14,6 +14,7 @@ from tessera.llm.common import read
 from tessera.llm.decontamination import find_items
 from tessera.llm.lm_scoring import backoff_scores
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.nearest import nearest
 from tessera.llm.substring_dedup import remove_repeats
 from tessera.llm.token_counts import token_counts
 
@@ -54,6 +55,10 @@ SELECT doc_id, item_id, n_shared, n_runs, n_shared / n_runs AS containment FROM
 """
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "digest", "license", F.array_join("notices", ",").alias("notices"))
@@ -99,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lm_scoring": op1_lm_scoring,
         "op2_near_dedup": op2_near_dedup,
         "op3_decontamination": op3_decontamination,
+        "op4_nearest": op4_nearest,
         "op5_license_scan": op5_license_scan,
         "op6_toxicity": op6_toxicity,
         "op7_bpe": op7_bpe,
