@@ -12,6 +12,7 @@ from tessera.llm import license_scan, toxicity
 from tessera.llm.bpe import encode_decode
 from tessera.llm.common import read
 from tessera.llm.decontamination import find_items
+from tessera.llm.html_text import extract
 from tessera.llm.lm_scoring import backoff_scores
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.nearest import nearest
@@ -77,6 +78,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -108,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_license_scan": op5_license_scan,
         "op6_toxicity": op6_toxicity,
         "op7_bpe": op7_bpe,
+        "op8_html_text": op8_html_text,
         "op9_token_counts": op9_token_counts,
         "op10_substring_dedup": op10_substring_dedup,
     }
