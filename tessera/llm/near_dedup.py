@@ -8,11 +8,14 @@ signature's components, which keeps the time of its first. Two documents agree i
 probability of their weighted Jaccard similarity. Points are made in order of time until each component
 of a document is filled, so most runs of a long document give one point or none.
 
-Signatures are banded; documents that share a band are compared by exact multiset overlap, and linked at
-the given similarity. Within a large band bucket not all pairs are compared: first all members with a
-few pivots (those that share the most), then, as long as a bucket holds more than one linked class, its
-untested members become pivots against the members of other classes. So no pair of different classes
-that share a band stays untested, and no link is lost that would join two classes.
+Signatures are banded; documents that share a band are compared by sketches of their whole signatures, and
+those that may be similar by exact multiset overlap. The first FIRST bands come first: buckets of up to SMALL
+documents are compared pair by pair, the members of larger ones meet a few pivots (those that share the
+most). Of all bands, only buckets that then hold more than one linked class are looked at again, and only
+members of different classes are compared: pair by pair in small buckets, by one inverted index of their
+runs in those of up to MIDDLE members. A larger bucket is cut finer, to members that share two bands, and
+what stays larger than MIDDLE meets eight times as many new pivots in each round, until one class is left or all
+have been pivots. So copies by the thousand cost a few comparisons each.
 
 Equal texts share a signature and are compared once. The classes are the connected components of the
 links; class_id is the smallest doc_id of a class.
@@ -31,12 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, _BASE, blocks, column, materialise, mix, position_in_group, powers, shingles, word_hashes
+from tessera.llm.common import U64, _BASE, blocks, column, materialise, mix, position_in_group, powers, ranges, shingles, word_hashes
 
 #: With 26 bands of 5, two documents of similarity 0.8 share no band with a chance of 3.3e-5.
 BANDS, ROWS = 26, 5
-#: Buckets of at most so many documents are compared pair by pair; larger ones by so many pivots at a time.
-SMALL, PIVOTS = 8, 4
+#: Bands that are looked at first.
+FIRST = 8
+#: Most documents of a bucket that are compared pair by pair, and by one index; pivots of a larger one. Two documents of
+#: similarity 0.8 share just one band, so that a bucket cut finer parts them, with a chance of 4e-4.
+SMALL, MIDDLE, PIVOTS = 32, 2048, 2
+#: Sketches of less agreement aren't compared; for a similarity of 0.8 a chance of 1e-8.
+AGREE = 0.6
 
 
 def bag(elements: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,11 +116,13 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int)
         for r in range(rows):
             keys = keys * U64(_BASE) + times[:, r::rows][:, :bands]
         keys = mix((keys + np.arange(1, bands + 1, dtype=U64) * U64(0xD1B54A32D192ED03)).ravel()).view(np.int64)
+        size = bands * rows
+        sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(counts), [None, pa.py_buffer((mix(times.ravel()) >> U64(56)).astype(np.uint8).tobytes())])
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, bands), pa.int32()), pa.array(keys))
         empty = pa.array(counts == 0)
         yield pa.record_batch(
-            [column(block, "doc_id"), column(block, "text_hash"), pa.array(node, mask=counts == 0), lists, empty],
-            names=["doc_id", "text_hash", "node", "bands", "empty"],
+            [column(block, "doc_id"), column(block, "text_hash"), pa.array(node, mask=counts == 0), lists, sketch.cast(pa.binary()), empty],
+            names=["doc_id", "text_hash", "node", "bands", "sketch", "empty"],
         )
 
 
@@ -136,6 +146,59 @@ def _compare(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -
             yield pa.record_batch([some.column(0).take(pa.array(keep)), some.column(1).take(pa.array(keep)), pa.array(jaccard[keep])], names=["a", "b", "similarity"])
 
 
+def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(1) >= least))
+
+
+def _bags(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The runs of each text, a repeated run as so many different elements."""
+    for batch in batches:
+        runs, counts = shingles(batch.column(1), width)
+        e, o, w = bag(runs, np.repeat(np.arange(len(counts)), counts))
+        expanded = mix(np.repeat(e, w) + position_in_group(w).astype(U64) * U64(_BASE))
+        ends = np.cumsum(np.bincount(np.repeat(o, w), minlength=len(counts)))
+        data = [expanded[a:b].tobytes() for a, b in zip(np.append(0, ends[:-1]), ends)]
+        yield pa.record_batch([batch.column(0), pa.array(data, pa.binary())], names=["node", "bag"])
+
+
+def _settle(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links between the classes of each bucket. Rows come sorted by bucket."""
+    key, held = None, []
+
+    def links() -> pa.RecordBatch:
+        nodes, labels = (np.array([r[k] for r in held]) for k in ("node", "label"))
+        bags = [np.frombuffer(r["bag"], U64) for r in held]
+        sizes = np.array(list(map(len, bags)))
+        elements = np.concatenate(bags)
+        order = np.argsort(elements, kind="stable")
+        owner = np.repeat(np.arange(len(bags)), sizes)[order]
+        starts = np.flatnonzero(np.append(True, np.diff(elements[order]) != 0))
+        distinct, counts = elements[order][starts], np.diff(np.append(starts, len(order)))
+        kinds, kind, n = np.unique(labels, return_inverse=True, return_counts=True)
+        out: list[tuple] = []
+        for q in np.flatnonzero(kind != n.argmax()):  # each pair of classes has one of them
+            at = np.searchsorted(distinct, bags[q])
+            shared = np.bincount(owner[ranges(starts[at], counts[at])], minlength=len(bags))
+            jaccard = shared / (sizes[q] + sizes - shared)
+            hits = np.flatnonzero((jaccard >= similarity) & (kind != kind[q]))
+            for h in hits[np.unique(kind[hits], return_index=True)[1]]:
+                out.append((min(nodes[q], nodes[h]), max(nodes[q], nodes[h]), jaccard[h]))
+        return pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row["key"] != key:
+                yield links()
+                held = []
+            key = row["key"]
+            held.append(row)
+    if held:
+        yield links()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label for every node of links (a, b): the smallest node of its connected component."""
     edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -152,45 +215,79 @@ def components(links: DataFrame) -> DataFrame:
 
 def _pairs(left: DataFrame, right: DataFrame, condition) -> DataFrame:
     got = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & condition)
-    return got.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+    return got.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+
+
+def _pivots(of: DataFrame, n: int) -> DataFrame:
+    best = of.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(n))).agg(F.max(F.struct("pull", "node")).alias("best"))
+    return best.select("key", F.col("best.node").alias("node"))
+
+
+def _mixed(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of keys (key, node), with label and n, whose buckets hold more than one class."""
+    named = keys.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    split = named.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key", "n")
+    return materialise(named.join(split, "key"))
+
+
+def _with_pull(rows: DataFrame) -> DataFrame:
+    return rows.join(rows.groupBy("node").agg(F.sum("n").alias("pull")), "node")
+
+
+def _finer(members: DataFrame) -> DataFrame:
+    """The members by pairs of their buckets."""
+    a, b = (members.select("node", F.col("key").alias(k)) for k in ("k1", "k2"))
+    return materialise(a.join(b, "node").filter("k1 < k2").select(F.xxhash64("k1", "k2").alias("key"), "node"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id and is_first (the row stands for its class) of each row, and class_key, a class's own key."""
+    """doc_id, class_id and is_first (the row stands for its class) of each row; class_key, a class's own key; text_hash."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
-    signed = materialise(base.mapInArrow(lambda it: _sign(it, width, bands, rows), "doc_id long, text_hash long, node long, bands array<long>, empty boolean"))
-    nodes = signed.filter("not empty").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands"))
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = keys.join(shared, "key")
-    weight = materialise(buckets)
-    members = weight.join(weight.groupBy("node").agg(F.sum("n").alias("pull")), "node")
-    members = materialise(members)
-    small, large = members.filter(F.col("n") <= SMALL), members.filter(F.col("n") > SMALL)
-
-    def pivots(of: DataFrame) -> DataFrame:
-        salt = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
-        best = of.groupBy("key", salt).agg(F.max(F.struct("pull", "node")).alias("best"))
-        return best.select("key", F.col("best.node").alias("node"))
-
-    tested = materialise(pivots(large))
-    pairs = _pairs(small, small, F.col("l.node") < F.col("r.node")).union(_pairs(large, tested, F.col("l.node") != F.col("r.node"))).distinct()
-    links = materialise(_verified(base, nodes, pairs, width, similarity))
+    signed = materialise(base.mapInArrow(lambda it: _sign(it, width, bands, rows), "doc_id long, text_hash long, node long, bands array<long>, sketch binary, empty boolean"))
+    nodes = signed.filter("not empty").groupBy("node").agg(F.min(F.struct("text_hash", "bands", "sketch")).alias("own")).select("node", "own.*")
+    first = nodes.select("node", F.explode(F.slice("bands", 1, FIRST)).alias("key"))
+    shared = materialise(first.join(first.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"))
+    small, large = shared.filter(F.col("n") <= SMALL), _with_pull(shared).filter(F.col("n") > SMALL)
+    pairs = _pairs(small, small, F.col("l.node") < F.col("r.node")).union(_pairs(large, _pivots(large, PIVOTS), F.col("l.node") != F.col("r.node")))
+    tested = _likely(nodes, pairs.distinct(), similarity)
+    links = materialise(_overlapping(_texts(base, nodes, tested), tested, width, similarity))
     labels = components(links)
-    while True:
-        named = large.join(labels, "node", "left").select("key", "node", "pull", F.coalesce("label", "node").alias("label"))
-        split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        mixed = materialise(named.join(split, "key", "left_semi"))
-        fresh = mixed.join(tested, ["key", "node"], "left_anti")
-        chosen = materialise(pivots(fresh))
-        if chosen.isEmpty():
-            break
-        tested = tested.union(chosen)
-        pairs = _pairs(mixed, mixed.join(chosen, ["key", "node"], "left_semi"), F.col("l.label") != F.col("r.label"))
-        more = materialise(_verified(base, nodes, pairs, width, similarity))
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
+
+    def link(more: DataFrame) -> bool:
+        nonlocal links, labels
+        more = materialise(more)
+        if more.isEmpty():
+            return False
+        links = links.union(more)
+        labels = components(links)
+        return True
+
+    apart = (F.col("l.node") < F.col("r.node")) & (F.col("l.label") != F.col("r.label"))
+    mixed = _mixed(nodes.select("node", F.explode("bands").alias("key")), labels)
+    few, many = mixed.filter(F.col("n") <= SMALL), mixed.filter((F.col("n") > SMALL) & (F.col("n") <= MIDDLE))
+    likely = _likely(nodes, _pairs(few, few, apart).distinct().join(tested, ["a", "b"], "left_anti"), similarity)
+    wanted = likely.select("a", "b").union(many.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    texts = _texts(base, nodes, wanted)
+    link(_overlapping(texts, likely, width, similarity).union(_indexed(texts, many, width, similarity)))
+    huge = mixed.filter(F.col("n") > MIDDLE)
+    if not huge.isEmpty():
+        huge = _with_pull(huge.drop("label"))
+        pairs = _pairs(huge, _pivots(huge, PIVOTS), F.col("l.node") != F.col("r.node"))
+        texts = _texts(base, nodes, huge.select(F.col("node").alias("a"), F.col("node").alias("b")))
+        link(_overlapping(texts, _likely(nodes, pairs.distinct(), similarity), width, similarity))
+        finer = _finer(_mixed(huge.select("key", "node"), labels))
+        mixed = _mixed(finer, labels)
+        link(_indexed(texts, mixed.filter(F.col("n") <= MIDDLE), width, similarity))
+        n, used = 8 * PIVOTS, None
+        while True:
+            mixed = _mixed(finer, labels).filter(F.col("n") > MIDDLE)
+            fresh = _with_pull(mixed if used is None else mixed.join(used, ["key", "node"], "left_anti"))
+            chosen = materialise(_pivots(fresh, n))
+            if chosen.isEmpty():
+                break
+            pairs = _pairs(mixed, mixed.join(chosen, ["key", "node"], "left_semi"), F.col("l.label") != F.col("r.label"))
+            link(_overlapping(texts, _likely(nodes, pairs.distinct(), similarity), width, similarity))
+            used, n = chosen if used is None else used.union(chosen), 8 * n
 
     classes = signed.join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("class_key"))
     own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
@@ -204,17 +301,36 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, ba
     return out.select("doc_id", best["doc_id"].alias("class_id"), (best["doc_id"].eqNullSafe(F.col("doc_id")) & best["text_hash"].eqNullSafe(F.col("text_hash"))).alias("is_first"), "class_key", "text_hash")
 
 
-def _verified(base: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    pairs = materialise(pairs)
+def _with_both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    for side in "ab":
+        pairs = pairs.join(values.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+    return pairs.select("a", "b", f"{column}_a", f"{column}_b")
+
+
+def _likely(nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sketches agree as those of similar texts do."""
+    least = AGREE * similarity / 0.8
+    return materialise(_with_both(pairs, nodes, "sketch").mapInArrow(lambda it: _similar(it, least), "a long, b long"))
+
+
+def _texts(base: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and text of the nodes in pairs. Equal texts fold to one before they are dealt out."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.select("node", "text_hash").join(wanted, "node", "left_semi")
-    # equal texts fold to one before they are dealt out
     once = base.filter("text is not null").groupBy("text_hash").agg(F.first("text").alias("text"))
-    texts = materialise(once.join(wanted, "text_hash").select("node", "text"))
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(lambda it: _compare(it, width, similarity), "a long, b long, similarity double")
+    return materialise(once.join(wanted, "text_hash").select("node", "text"))
+
+
+def _overlapping(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs whose texts overlap by similarity or more."""
+    return _with_both(pairs, texts, "text").mapInArrow(lambda it: _compare(it, width, similarity), "a long, b long, similarity double")
+
+
+def _indexed(texts: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links between the classes of the buckets in rows (key, node, label)."""
+    bags = texts.select("node", "text").mapInArrow(lambda it: _bags(it, width), "node long, bag binary")
+    dealt = rows.select("key", "node", "label").join(bags, "node").select("key", "node", "label", "bag").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(lambda it: _settle(it, similarity), "a long, b long, similarity double")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
