@@ -60,7 +60,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     named = keyed.filter(F.size("__short") > 0).select("__row", "__short").distinct()
     named = named.select("__row", F.explode("__short").alias("__digest")).join(F.broadcast(notices), "__digest")
     named = named.groupBy("__row").agg(F.array_sort(F.collect_set("__notice")).alias("notices")).withColumnRenamed("__row", "__named")
-    out = keyed.join(named, F.when(F.size("__short") > 0, F.col("__row")) == F.col("__named"), "left")
+    out = keyed.join(named, F.col("__row") == F.col("__named"), "left")
     return out.select(*[F.col(f"`{c}`") for c in own.columns], "digest", "license", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
 
 
