@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from typing import Any
 
@@ -32,6 +33,11 @@ def constant(value: Any) -> Column:
     return F.lit(value)
 
 
+def _sql(column: Column) -> str:
+    """The SQL text of a column."""
+    return re.sub(r"(?<![\w`)'])([-+*/%=<>&|^~!]+|and|or|not|in)\((?=[^)])", r"`\1`(", column._jc.node().sql())
+
+
 class Expression:
     """A lazy value of a row."""
 
@@ -139,7 +145,7 @@ class Expression:
         raise InvalidInputException("an expression has no truth value; combine expressions with &, | and ~")
 
     def __repr__(self) -> str:
-        return str(self.column)[len("Column<'") : -2]
+        return _sql(self.column)
 
     def show(self) -> None:
         print(repr(self))
@@ -148,7 +154,8 @@ class Expression:
         return Expression(self._column, name, self._order, self._cases)
 
     def get_name(self) -> str:
-        return self.name or repr(self)
+        text = self.name or repr(self)
+        return text[1:-1] if re.fullmatch(r"`[^`]+`", text) else text
 
     def cast(self, kind: Any) -> Expression:
         return Expression(self._column.cast(sqltype(kind)), self.name)
@@ -264,11 +271,9 @@ _OPERATORS: dict[str, Callable[..., Column]] = {
 def FunctionExpression(name: str, *args: Any) -> Expression:
     columns = [a.bare if isinstance(a, Expression) else to_column(a) for a in args]
     if isinstance(args[-1:] and args[-1], Lambda):
-        own = args[-1]
-        by_name = {"list_transform": F.transform, "list_apply": F.transform, "transform": F.transform, "list_filter": F.filter, "filter": F.filter, "list_reduce": None, "reduce": None}
         if name in ("list_reduce", "reduce"):
-            return Expression(F.reduce(F.slice(columns[0], F.lit(2), F.size(columns[0])), F.element_at(columns[0], 1), own.function))
-        return Expression(by_name[name](columns[0], own.function))
+            values = columns[0]
+            return Expression(F.call_function("reduce", F.slice(values, F.lit(2), F.size(values)), F.element_at(values, 1), *columns[1:]))
     if name in _OPERATORS:
         return Expression(_OPERATORS[name](*columns))
     return Expression(F.call_function(sql_text.FUNCTIONS.get(name.lower(), name), *columns))
@@ -284,22 +289,9 @@ class Lambda(Expression):
     """A function of the elements of a list."""
 
     def __init__(self, names: tuple[str, ...], body: Any) -> None:
-        super().__init__(F.lit(None))
         text = repr(body) if isinstance(body, Expression) else str(body)
-        if len(names) == 1:
-            self.function = lambda a: _substituted(body, text, names, (a,))
-        else:
-            self.function = lambda a, b: _substituted(body, text, names, (a, b))
-
-
-def _substituted(body: Any, text: str, names: tuple[str, ...], variables: tuple[Column, ...]) -> Column:
-    """The body with its names standing for the function's variables."""
-    if callable(body) and not isinstance(body, Expression):
-        out = body(*map(Expression, variables))
-        return to_column(out)
-    parts = sql_text.tokens(sql_text.expression(text))
-    own = {n.lower(): str(v)[len("Column<'") : -2] for n, v in zip(names, variables)}
-    return F.expr("".join(own.get(t.strip("`").lower(), t) if k in ("word", "name") else t for k, t in parts))
+        own = names[0] if len(names) == 1 else f"({', '.join(names)})"
+        super().__init__(F.expr(f"{own} -> {sql_text.expression(text)}"))
 
 
 def LambdaExpression(names: str | tuple, body: Any) -> Lambda:

@@ -20,6 +20,8 @@ def _text(value: object) -> str:
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Stands in a text where its window goes, if that isn't at the end.
+OVER = "{over}"
 #: Name to text of one column c.
 SIMPLE: dict[str, Callable[[str], str]] = {
     "any_value": lambda c: f"first({c}, true)",
@@ -34,12 +36,11 @@ SIMPLE: dict[str, Callable[[str], str]] = {
     "fsum": lambda c: f"sum(cast({c} as double))",
     "first": lambda c: f"first({c})",
     "last": lambda c: f"last({c})",
-    "geomean": lambda c: f"exp(avg(ln({c})))",
-    "list": lambda c: f"collect_list(struct({c} as v)).v",
+    "geomean": lambda c: f"exp(avg(ln({c})){OVER})",
+    "list": lambda c: f"transform(collect_list(struct({c} as v)){OVER}, s -> s.v)",
     "max": lambda c: f"max({c})",
     "min": lambda c: f"min({c})",
-    "product": lambda c: f"product({c})",
-    "sum": lambda c: f"sum({c})",
+        "sum": lambda c: f"sum({c})",
     "median": lambda c: f"percentile({c}, 0.5)",
     "mode": lambda c: f"mode() within group (order by {c})",
     "stddev_pop": lambda c: f"stddev_pop({c})",
@@ -54,7 +55,7 @@ ALIASES = {"mean": "avg", "stddev": "stddev_samp", "std": "stddev_samp", "varian
 
 def product(c: str) -> str:
     """Product of a column: the sign by parity, the size by logarithms would lose digits, so values multiply in order."""
-    return f"aggregate(collect_list(cast({c} as double)), 1D, (a, x) -> a * x)"
+    return f"aggregate(collect_list(cast({c} as double)){OVER}, 1D, (a, x) -> a * x)"
 
 
 def quantile_cont(c: str, q: float | list) -> str:
@@ -68,12 +69,12 @@ def quantile_disc(c: str, q: float | list, kind: str) -> str:
 
 
 def string_agg(c: str, separator: str) -> str:
-    return f"array_join(collect_list(cast({c} as string)), {_text(separator)})"
+    return f"array_join(collect_list(cast({c} as string)){OVER}, {_text(separator)})"
 
 
 def histogram(c: str) -> str:
     """Value to count, in order of values."""
-    values = f"array_sort(collect_list({c}))"
+    values = f"array_sort(collect_list({c}){OVER})"
     return (
         f"map_from_entries(transform(array_distinct({values}), v -> struct(v as key, size(filter({values}, w -> w = v)) as value)))"
     )
@@ -82,4 +83,4 @@ def histogram(c: str) -> str:
 def bitstring(c: str, low: int, high: int) -> str:
     if not (isinstance(low, int) and isinstance(high, int)) or low > high:
         raise InvalidInputException("bitstring_agg needs whole numbers min <= max")
-    return f"array_join(transform(sequence({low}, {high}), x -> if(array_contains(collect_set(cast({c} as bigint)), x), '1', '0')), '')"
+    return f"array_join(transform(sequence({low}, {high}), x -> if(array_contains(collect_set(cast({c} as bigint)){OVER}, x), '1', '0')), '')"

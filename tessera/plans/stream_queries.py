@@ -1 +1,58 @@
-QUERIES: dict = {}
+"""Event-time queries: the batch forms beside SQL, and the same by streams that run once over the files."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.plans import Query
+from tessera.plans.tables import frame
+from tessera.streaming import events as E
+
+
+def _tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = E.windowed(frame(spark, sf_dir, "events"), "ts", "1 hour", [F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")], ["event_type"])
+    return out.select("window_start", "event_type", "n", "total")
+
+
+def _sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.windowed(frame(spark, sf_dir, "events"), "ts", "1 hour", [F.count("*").alias("n")], slide="15 minutes").select("window_start", "n")
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = E.sessions(frame(spark, sf_dir, "events"), "ts", "30 minutes", ["user_id"], [F.count("*").alias("n")])
+    return out.select("user_id", "session_start", "n")
+
+
+def _dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.deduplicated(frame(spark, sf_dir, "events").select("user_id", "event_type"), "ts", ["user_id", "event_type"], "1 hour")
+
+
+def _interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = frame(spark, sf_dir, "events")
+    out = E.interval_joined(own.filter("event_type = 'view'"), own.filter("event_type = 'click'"), ["user_id"], "ts", "ts", "10 minutes", "1 hour")
+    return out.select("event_id", "r_event_id")
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling windows by a stream: every window, as the mode is complete."""
+    source = spark.readStream.schema(frame(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(_folder(sf_dir))
+    out = E.windowed(source.filter("event_id is not null"), "ts", "1 hour", [F.count("*").alias("n")])
+    return E.run_once(out, f"t{uuid.uuid4().hex}", "complete").select("window_start", "n")
+
+
+def _folder(sf_dir: str) -> str:
+    """events.parquet as what a stream can watch: the folder, or a glob of the one file."""
+    return f"{sf_dir}/events.parque[t]"
+
+
+QUERIES: dict[str, tuple[Query, str | None]] = {
+    "stream_tumbling": (_tumbling, "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
+    "stream_sliding": (_sliding, "SELECT time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE AS window_start, count(*) AS n FROM events, range(4) r(i) GROUP BY ALL"),
+    "stream_sessions": (_sessions, "SELECT user_id, min(ts) AS session_start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"),
+    "stream_dedup": (_dedup, "SELECT DISTINCT user_id, event_type FROM events"),
+    "stream_interval_join": (_interval, "SELECT a.event_id, b.event_id AS r_event_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 10 MINUTE"),
+    "stream_windows_by_stream": (_stream, "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM events GROUP BY ALL"),
+}

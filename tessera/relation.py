@@ -106,14 +106,14 @@ class Relation:
             if groups:
                 return self.aggregate(list(exprs) if len(exprs) > 1 or not isinstance(exprs[0], str) else exprs[0], groups)
             if len(exprs) == 1 and isinstance(exprs[0], str):
-                return self._derive(self._run(f"SELECT {exprs[0]} FROM {{}}"), kind="PROJECTION_RELATION")
+                return self._derive(self._df.selectExpr(*split_top(sql_text.expression(exprs[0]))), kind="PROJECTION_RELATION")
             return self._derive(self._df.select(*self._columns([F.col(e) if isinstance(e, str) else e for e in exprs])), kind="PROJECTION_RELATION")
 
     project = select
 
     def _run(self, text: str, *others: DataFrame) -> DataFrame:
         """SQL text of the dialect over this relation's rows, which stand for {}."""
-        return self._df.sparkSession.sql(sql_text.spark_sql(text.replace("{}", "__this")).replace("__this", "{this}"), this=self._df)
+        return self._df.sparkSession.sql(_braced(sql_text.spark_sql(text.replace("{}", "__this"))).replace("__this", "{this}"), this=self._df)
 
     def select_types(self, types: list) -> Relation:
         wanted = [sqltype(t) for t in types]
@@ -218,11 +218,11 @@ class Relation:
         with translated():
             items = [p for p in split_top(projected)]
             over = " " + sql_text.expression(window) if window else ""
-            items += [f"{text}{over} AS {sql_text.quoted(name)}" for name, text in made]
-            text = f"SELECT {', '.join(items)} FROM {{this}}"
+            items += [f"{text.replace(aggregates.OVER, over) if aggregates.OVER in text else text + over} AS {sql_text.quoted(name)}" for name, text in made]
+            text = f"SELECT {', '.join(items)} FROM __this"
             if groups:
                 text += f" GROUP BY {sql_text.expression(groups)}"
-            return self._derive(self._df.sparkSession.sql(text, this=self._df), kind="PROJECTION_RELATION" if window else "AGGREGATE_RELATION")
+            return self._derive(self._df.sparkSession.sql(_braced(text).replace("__this", "{this}"), this=self._df), kind="PROJECTION_RELATION" if window else "AGGREGATE_RELATION")
 
     def arg_max(self, arg_column: str, value_column: str, groups: str = "", window_spec: str = "", projected_columns: str = "") -> Relation:
         return self._aggregate_text([(f"arg_max({arg_column}, {value_column})", f"max_by({arg_column}, {value_column})")], groups, window_spec, projected_columns)
@@ -515,6 +515,11 @@ class Relation:
         return self._sql
 
 
+def _braced(text: str) -> str:
+    """Text whose braces stand for themselves where frames are filled in."""
+    return text.replace("{", "{{").replace("}", "}}")
+
+
 def _pandas_type(kind: Any) -> str:
     name = str(kind)
     return {"int64": "bigint", "int32": "int", "int16": "smallint", "int8": "tinyint", "float64": "double", "float32": "float", "bool": "boolean"}.get(name, "timestamp_ntz" if name.startswith("datetime64") else "string")

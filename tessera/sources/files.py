@@ -67,3 +67,11 @@ def with_file_options(df: DataFrame, filename: Any = None, file_row_number: bool
     if filename:
         df = df.withColumn(filename if isinstance(filename, str) else "filename", F.col("_metadata.file_path"))
     return df
+
+
+def work_folder(spark) -> str:
+    """A folder for intermediate files that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
+    import uuid
+
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    return f"{top.rstrip('/')}/work-{uuid.uuid4().hex}"

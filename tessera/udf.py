@@ -87,7 +87,9 @@ def arrow(function: Callable, kind: Any, special_nulls: bool, return_null: bool)
         out = typed(*args)
         return out if out.type == wanted else out.cast(wanted)
 
-    return F.arrow_udf(cast, kind)
+    from pyspark.sql.functions import ArrowUDFType
+
+    return F.arrow_udf(cast, kind, ArrowUDFType.SCALAR)
 
 
 class Functions:
