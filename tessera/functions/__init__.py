@@ -38,8 +38,9 @@ def skewness_sample(column) -> Column:
 
 def mode_first(column, order) -> Column:
     """The most frequent value; of several, the one that comes first by an order column."""
-    pairs = F.collect_list(F.struct(F.lit(order) if not isinstance(order, (str, Column)) else F.col(order) if isinstance(order, str) else order, F.col(column) if isinstance(column, str) else column))
-    values = F.transform(F.array_sort(pairs), lambda s: s["col2"])
+    own, place = (F.col(c) if isinstance(c, str) else c for c in (column, order))
+    pairs = F.array_sort(F.collect_list(F.struct(place.alias("place"), own.alias("v"))))
+    values = F.transform(pairs, lambda s: s["v"])
     kept = F.filter(values, lambda v: v.isNotNull())
     counted = F.transform(F.array_distinct(kept), lambda v: F.struct((-F.size(F.filter(kept, lambda w: w == v))).alias("n"), F.array_position(kept, v).alias("at"), v.alias("v")))
     return F.array_min(counted)["v"]

@@ -122,7 +122,8 @@ def read_csv(spark: SparkSession, path_or_buffer: Any, **options: Any) -> DataFr
     kinds = {k.lower(): sqltype(v) for k, v in wanted.items()}
     if plain and not get("all_varchar") and get("auto_detect", default=True):
         kinds = _inferred(df, thousands, decimal) | kinds
-    df = df.select(*[_cast(c, kinds.get(c.lower()), thousands, decimal, date, stamp) for c in df.columns])
+    texts = {f.name for f in df.schema.fields if f.dataType.typeName() == "string"}
+    df = df.select(*[_cast(c, kinds.get(c.lower()), thousands, decimal, date if c in texts else None) for c in df.columns])
     must = {c.lower() for c in get("force_not_null", default=[])}
     df = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c.lower() in must else F.col(f"`{c}`") for c in df.columns])
     if get("rejects_table") and "_corrupt_record" in df.columns:
@@ -130,7 +131,7 @@ def read_csv(spark: SparkSession, path_or_buffer: Any, **options: Any) -> DataFr
     return with_file_options(df, own.get("filename"))
 
 
-def _cast(name: str, kind: Any, thousands: str | None, decimal: str, date: str | None, stamp: str | None):
+def _cast(name: str, kind: Any, thousands: str | None, decimal: str, date: str | None):
     column = F.col(f"`{name}`")
     if kind is None:
         return column
@@ -140,7 +141,7 @@ def _cast(name: str, kind: Any, thousands: str | None, decimal: str, date: str |
         text = F.replace(text, F.lit(decimal), F.lit(".")) if decimal != "." else text
         return text.cast(kind).alias(name)
     if date and kind.typeName() == "date":
-        return F.to_date(column.cast("string"), java_pattern(date)).alias(name)
+        return F.to_date(column, java_pattern(date)).alias(name)
     return column.cast(kind).alias(name)
 
 

@@ -15,7 +15,12 @@ def read_events(spark: SparkSession, path: str, schema: Any = None, **options: s
 
 
 def _marked(df: DataFrame, time: str, late: str | None) -> DataFrame:
-    return df.withWatermark(time, late) if late and df.isStreaming else df
+    return _instant(df, time).withWatermark(time, late) if late and df.isStreaming else df
+
+
+def _instant(df: DataFrame, time: str) -> DataFrame:
+    """Watermarks need instants; a time without zone is read in the session's."""
+    return df.withColumn(time, F.col(time).cast("timestamp")) if df.schema[time].dataType.typeName() == "timestamp_ntz" else df
 
 
 def windowed(df: DataFrame, time: str, width: str, aggregates: list[Column], keys: list[str] | None = None, slide: str | None = None, late: str | None = None) -> DataFrame:
@@ -33,7 +38,7 @@ def sessions(df: DataFrame, time: str, gap: str, keys: list[str], aggregates: li
 
 def deduplicated(df: DataFrame, time: str, keys: list[str], late: str) -> DataFrame:
     """The first row of each key; a stream forgets keys after the lateness."""
-    return df.withWatermark(time, late).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
+    return _instant(df, time).withWatermark(time, late).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
 def interval_joined(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, within: str, late: str) -> DataFrame:
