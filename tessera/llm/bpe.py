@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blocks, column, ranges
+from tessera.llm.common import blocks, column, mapped, ranges
 
 NONE = np.int64(1) << 62
 #: Cells of the trees that grow side by side.
@@ -210,5 +210,5 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     own = docs.drop("n_tokens", "ids", "decoded")
     own = own if text == "text" else own.withColumnRenamed(text, "text")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields), "n_tokens long, ids binary, decoded string"])
-    out = own.mapInArrow(lambda it: _encode(it, path), schema)
+    out = own.transform(mapped, lambda it: _encode(it, path), schema)
     return out if text == "text" else out.withColumnRenamed("text", text)

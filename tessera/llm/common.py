@@ -7,6 +7,8 @@ meet with a chance of about n * n / 2**65.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import itertools
 import tempfile
 import uuid
@@ -114,6 +116,20 @@ def _hash_chunk(data: np.ndarray, begins: np.ndarray, separators: np.ndarray) ->
     return mix(out), starts
 
 
+def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow, where a Python worker hands back its free memory after each partition, as workers stay for the next stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
 def position_in_group(counts: np.ndarray) -> np.ndarray:
     """0, 1, ... within each of the groups that have these counts."""
     return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -244,9 +260,15 @@ def shared_folder(spark: SparkSession) -> str:
     return got
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write a frame as Parquet to the shared folder and read it back, which cuts its lineage."""
+def few_files(df: DataFrame, file_bytes: int = 64 << 20) -> int:
+    """Files for tables that are small beside df: one for each so many bytes of df, eight at least, as many as shuffle partitions at most."""
+    return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(8, input_bytes(df) // file_bytes)))
+
+
+def materialise(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Write a frame as Parquet to the shared folder, in so many files if given, and read it back, which cuts its lineage."""
     spark = df.sparkSession
+    df = df.repartition(files) if files else df
     path = f"{shared_folder(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

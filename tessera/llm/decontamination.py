@@ -26,10 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import PUNCTUATION, U64, _BASE, blocks, column, mix, ranges, shingles
+from tessera.llm.common import PUNCTUATION, U64, _BASE, blocks, column, mapped, mix, ranges, shingles
 
 WIDTH = 5
-#: A set of 1.5 u runs with an item of u / 2 runs, of which 0.8 agree, is missed with a chance of 4e-6.
+#: A set of 1.5 u runs is missed by an item of u / 2 runs, of which it holds 0.8, with a chance of 1e-6.
 HASHES = 48
 SMALLEST = 8
 GROUP_ITEMS, GROUP_BYTES = 10_000, 16 << 20
@@ -133,7 +133,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, doc_id
     for g in range(groups):
         group = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).toArrow()
         index, ids = Index(column(group, "text")), column(group, "item_id")
-        part = base.mapInArrow(lambda it, index=index, ids=ids: _find(it, index, ids, least), "doc_id long, text_hash long, item_id long, n_shared long, n_runs long, containment double")
+        part = base.transform(mapped, lambda it, index=index, ids=ids: _find(it, index, ids, least), "doc_id long, text_hash long, item_id long, n_shared long, n_runs long, containment double")
         out = part if out is None else out.union(part)
     return out
 

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import blocks, column
+from tessera.llm.common import blocks, column, mapped
 
 _TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|!--|[!?][^>]*>)""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -255,4 +255,4 @@ def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:
     """pages with text, the main text of each, and n_chars, its code points."""
     own = pages.drop(*[c for c in ("text", "n_chars") if c != html_column])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields), "text string, n_chars long"])
-    return own.mapInArrow(lambda it: _extract(it, html_column), schema)
+    return own.transform(mapped, lambda it: _extract(it, html_column), schema)

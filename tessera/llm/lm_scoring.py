@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, _BASE, block_numbers, blocks, bucket_count, by_bucket, column, materialise, mix, position_in_group, ranges, sum_blocks, word_hashes
+from tessera.llm.common import U64, _BASE, block_numbers, blocks, bucket_count, by_bucket, column, mapped, materialise, mix, position_in_group, ranges, sum_blocks, word_hashes
 
 ALPHA = 0.4
 _COUNTS = "bucket int, words binary, counts binary, followed binary"
@@ -78,8 +78,8 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_counts(corpus: DataFrame, text: str = "text") -> DataFrame:
     """word (its hash), n, and followed: how often another word comes after it."""
     n = bucket_count(corpus)
-    sent = corpus.select(F.col(text).alias("text")).mapInArrow(lambda it: _send_counts(it, n), _COUNTS)
-    return by_bucket(sent, n).mapInArrow(_sum_counts, "word long, n long, followed long")
+    sent = corpus.select(F.col(text).alias("text")).transform(mapped, lambda it: _send_counts(it, n), _COUNTS)
+    return by_bucket(sent, n).transform(mapped, _sum_counts, "word long, n long, followed long")
 
 
 def _send_pairs(batches: Iterator[pa.RecordBatch], n_buckets: int, hot: np.ndarray, is_corpus: bool, is_scored: bool) -> Iterator[pa.RecordBatch]:
@@ -193,12 +193,12 @@ def backoff_scores(docs: DataFrame, corpus: DataFrame | None = None, alpha: floa
     def sent(of: DataFrame, is_corpus: bool, is_scored: bool) -> DataFrame:
         ids = F.col(doc_id).cast("long") if is_scored else F.lit(0).cast("long")
         base = of.select(ids.alias("doc_id"), F.col(text).alias("text"))
-        return base.mapInArrow(lambda it: _send_pairs(it, n, hot, is_corpus, is_scored), _PAIRS)
+        return base.transform(mapped, lambda it: _send_pairs(it, n, hot, is_corpus, is_scored), _PAIRS)
 
     pairs = sent(docs, corpus is None, True)
     if corpus is not None:
         pairs = pairs.union(sent(corpus, True, False))
-    parts = materialise(by_bucket(pairs, n).mapInArrow(lambda it: _score(it, hot, hot_followed), _PARTS))
+    parts = materialise(by_bucket(pairs, n).transform(mapped, lambda it: _score(it, hot, hot_followed), _PARTS))
     sums = parts.filter("word is null").select("block", "doc_ids", "nulls", "sizes", "sums", F.lit(None).cast("int").alias("user"), F.lit(None).cast("double").alias("value"))
     words = parts.filter("word is not null").groupBy("block", "user", "word").agg(F.sum("times").alias("times"), F.sum("backed").alias("backed"))
     words = words.join(table.select("word", "n"), "word", "left")
@@ -207,4 +207,4 @@ def backoff_scores(docs: DataFrame, corpus: DataFrame | None = None, alpha: floa
     value = F.col("times") * log + F.col("backed") * F.lit(float(np.log(alpha)))
     words = words.select("block", none.alias("doc_ids"), none.alias("nulls"), none.alias("sizes"), none.alias("sums"), "user", value.alias("value"))
     words = words.groupBy("block", "doc_ids", "nulls", "sizes", "sums", "user").agg(F.sum("value").alias("value"))
-    return sums.union(words).repartition("block").mapInArrow(lambda it: sum_blocks(it, np.float64, _finish), "doc_id long, n_words long, score double")
+    return sums.union(words).repartition("block").transform(mapped, lambda it: sum_blocks(it, np.float64, _finish), "doc_id long, n_words long, score double")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import mapped, materialise
 
 TABLES, PROBES = 16, 8
 #: Most vectors of a part of a bucket.
@@ -157,11 +157,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
     total = filed.select("id").distinct().count()
 
     def run(queries: DataFrame, tables: int, probes: int) -> DataFrame:
-        sizes = filed.mapInArrow(lambda it: _sizes(it, tables), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+        sizes = filed.transform(mapped, lambda it: _sizes(it, tables), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
         parts = {r["bucket"]: -(-r["n"] // BUCKET_ROWS) for r in sizes.filter(F.col("n") > BUCKET_ROWS).collect()}  # a row for each table and axis at most
-        dealt = [f.mapInArrow(lambda it, q=q: _deal(it, tables, probes, parts, q), _SENT) for q, f in enumerate((filed, queries))]
-        found = dealt[0].union(dealt[1]).repartition("part").mapInArrow(lambda it: _search(it, k), "query_id long, vec_id long, score double")
-        return found.repartition("query_id").mapInArrow(lambda it: _merge(it, k), "query_id long, rank int, vec_id long, score double")
+        dealt = [f.transform(mapped, lambda it, q=q: _deal(it, tables, probes, parts, q), _SENT) for q, f in enumerate((filed, queries))]
+        found = dealt[0].union(dealt[1]).repartition("part").transform(mapped, lambda it: _search(it, k), "query_id long, vec_id long, score double")
+        return found.repartition("query_id").transform(mapped, lambda it: _merge(it, k), "query_id long, rank int, vec_id long, score double")
 
     found = materialise(run(queries, tables, probes))
     full = found.groupBy("query_id").agg(F.max("rank").alias("n")).filter(F.col("n") >= min(k, total - 1)).select(F.col("query_id").alias("id"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, blocks, bucket_count, by_bucket, column, mix, position_in_group, ranges, window_hashes, word_hashes
+from tessera.llm.common import U64, blocks, bucket_count, by_bucket, column, mapped, mix, position_in_group, ranges, window_hashes, word_hashes
 
 #: Words of an anchor. With windows of 13 words, 8 anchors' places in each.
 SEED_WORDS = 6
@@ -155,10 +155,10 @@ def repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str
     """The words of each document that windows of a smaller doc_id cover: doc_id, text_hash, begins, ends (words, half open)."""
     n = bucket_count(docs)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash")).filter("doc_id is not null")
-    sent = base.mapInArrow(lambda it: _send_runs(it, window, n), _SENT)
+    sent = base.transform(mapped, lambda it: _send_runs(it, window, n), _SENT)
     # What a block has settled rides in the same exchange, dealt over all buckets, so that texts are read and hashed once.
     sent = sent.withColumn("bucket", F.when(F.col("bucket") < 0, F.pmod(F.col("doc_id"), F.lit(n)).cast("int")).otherwise(F.col("bucket")))
-    found = by_bucket(sent, n).mapInArrow(lambda it: _settled_and_matched(it, window), _FOUND)
+    found = by_bucket(sent, n).transform(mapped, lambda it: _settled_and_matched(it, window), _FOUND)
     return found.groupBy("doc_id", "text_hash").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
 
 
@@ -182,5 +182,5 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
     joined = own.join(found, (F.col(doc_id).cast("long") == F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__hash")), "left")
     joined = joined.select(*[F.col(f"`{f.name}`") for f in rest], F.col(text).alias("text"), "__begins", "__ends")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "text string, n_words long, n_removed long, kept_text string"])
-    out = joined.mapInArrow(_cut, schema)
+    out = joined.transform(mapped, _cut, schema)
     return out if text == "text" else out.withColumnRenamed("text", text)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import block_numbers, blocks, bucket_count, by_bucket, column, sum_blocks
+from tessera.llm.common import block_numbers, blocks, bucket_count, by_bucket, column, mapped, sum_blocks
 
 # The pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -111,7 +111,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, doc_id: str = "do
     """doc_id, n_bytes, n_tokens and over_limit of each row, for the byte-level BPE vocabulary in a file of the tokenizers library."""
     n = bucket_count(docs)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sent = base.mapInArrow(lambda it: _send(it, path, n), _SENT)
-    parts = by_bucket(sent, n).mapInArrow(lambda it: _count(it, path), _SUMS)
-    each = parts.repartition("block").mapInArrow(lambda it: sum_blocks(it, np.int64, _finish), "doc_id long, n_bytes long, n_tokens long")
+    sent = base.transform(mapped, lambda it: _send(it, path, n), _SENT)
+    parts = by_bucket(sent, n).transform(mapped, lambda it: _count(it, path), _SUMS)
+    each = parts.repartition("block").transform(mapped, lambda it: sum_blocks(it, np.int64, _finish), "doc_id long, n_bytes long, n_tokens long")
     return each.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import PUNCTUATION, U64, blocks, column, ranges, word_hashes
+from tessera.llm.common import PUNCTUATION, U64, blocks, column, mapped, ranges, word_hashes
 
 #: Most labelled rows that training takes.
 TRAIN_ROWS = 6000
@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: st
             yield pa.record_batch([column(block, "__id"), column(block, "lang"), column(block, "label").cast(pa.int64()), pa.array(data, pa.binary())], names=["id", "lang", "label", "words"])
 
     id_type = docs.schema[doc_id].dataType.simpleString()
-    got = found.mapInArrow(buckets, f"id {id_type}, lang string, label long, words binary").toArrow().sort_by("id")
+    got = found.transform(mapped, buckets, f"id {id_type}, lang string, label long, words binary").toArrow().sort_by("id")
     words = [np.frombuffer(x.as_py(), np.uint32) for x in column(got, "words")]
     y = column(got, "label").to_numpy().astype(np.float32)
     counts = np.array([len(w) for w in words], np.int64)
@@ -211,7 +211,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             scores = 1 / (1 + np.exp(-model.logits(packed, counts).astype(np.float64)))
             yield from block.append_column("toxicity", pa.array(scores, pa.float64())).combine_chunks().to_batches()
 
-    return own.mapInArrow(run, schema)
+    return own.transform(mapped, run, schema)
 
 
 def threshold(model: Model, lang: Column) -> Column:
