@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, _BASE, blocks, column, materialise, mix, position_in_group, powers, ranges, shingles, word_hashes
+from tessera.llm.common import U64, _BASE, blocks, column, few_files, mapped, materialise, mix, position_in_group, powers, ranges, shingles, word_hashes
 
 #: With 26 bands of 5, two documents of similarity 0.8 share no band with a chance of 3.3e-5.
 BANDS, ROWS = 26, 5
@@ -199,15 +199,15 @@ def _settle(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
         yield links()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, files: int | None = None) -> DataFrame:
     """node, label for every node of links (a, b): the smallest node of its connected component."""
     edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), files)
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         new = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        new = materialise(new.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("jump", "label")).alias("label")))
+        new = materialise(new.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("jump", "label")).alias("label")), files)
         labels = new.select("node", "label")
         if new.filter("was <> label").isEmpty():
             return labels
@@ -223,49 +223,50 @@ def _pivots(of: DataFrame, n: int) -> DataFrame:
     return best.select("key", F.col("best.node").alias("node"))
 
 
-def _mixed(keys: DataFrame, labels: DataFrame) -> DataFrame:
+def _mixed(keys: DataFrame, labels: DataFrame, files: int) -> DataFrame:
     """The rows of keys (key, node), with label and n, whose buckets hold more than one class."""
     named = keys.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     split = named.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key", "n")
-    return materialise(named.join(split, "key"))
+    return materialise(named.join(split, "key"), files)
 
 
 def _with_pull(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("node").agg(F.sum("n").alias("pull")), "node")
 
 
-def _finer(members: DataFrame) -> DataFrame:
+def _finer(members: DataFrame, files: int) -> DataFrame:
     """The members by pairs of their buckets."""
     a, b = (members.select("node", F.col("key").alias(k)) for k in ("k1", "k2"))
-    return materialise(a.join(b, "node").filter("k1 < k2").select(F.xxhash64("k1", "k2").alias("key"), "node"))
+    return materialise(a.join(b, "node").filter("k1 < k2").select(F.xxhash64("k1", "k2").alias("key"), "node"), files)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id and is_first (the row stands for its class) of each row; class_key, a class's own key; text_hash."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
-    signed = materialise(base.mapInArrow(lambda it: _sign(it, width, bands, rows), "doc_id long, text_hash long, node long, bands array<long>, sketch binary, empty boolean"))
+    files = few_files(docs)
+    signed = materialise(base.transform(mapped, lambda it: _sign(it, width, bands, rows), "doc_id long, text_hash long, node long, bands array<long>, sketch binary, empty boolean"))
     nodes = signed.filter("not empty").groupBy("node").agg(F.min(F.struct("text_hash", "bands", "sketch")).alias("own")).select("node", "own.*")
     first = nodes.select("node", F.explode(F.slice("bands", 1, FIRST)).alias("key"))
-    shared = materialise(first.join(first.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"))
+    shared = materialise(first.join(first.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), files)
     small, large = shared.filter(F.col("n") <= SMALL), _with_pull(shared).filter(F.col("n") > SMALL)
     pairs = _pairs(small, small, F.col("l.node") < F.col("r.node")).union(_pairs(large, _pivots(large, PIVOTS), F.col("l.node") != F.col("r.node")))
-    tested = _likely(nodes, pairs.distinct(), similarity)
-    links = materialise(_overlapping(_texts(base, nodes, tested), tested, width, similarity))
-    labels = components(links)
+    tested = _likely(nodes, pairs.distinct(), similarity, files)
+    links = materialise(_overlapping(_texts(base, nodes, tested), tested, width, similarity), files)
+    labels = components(links, files)
 
     def link(more: DataFrame) -> bool:
         nonlocal links, labels
-        more = materialise(more)
+        more = materialise(more, files)
         if more.isEmpty():
             return False
         links = links.union(more)
-        labels = components(links)
+        labels = components(links, files)
         return True
 
     apart = (F.col("l.node") < F.col("r.node")) & (F.col("l.label") != F.col("r.label"))
-    mixed = _mixed(nodes.select("node", F.explode("bands").alias("key")), labels)
+    mixed = _mixed(nodes.select("node", F.explode("bands").alias("key")), labels, files)
     few, many = mixed.filter(F.col("n") <= SMALL), mixed.filter((F.col("n") > SMALL) & (F.col("n") <= MIDDLE))
-    likely = _likely(nodes, _pairs(few, few, apart).distinct().join(tested, ["a", "b"], "left_anti"), similarity)
+    likely = _likely(nodes, _pairs(few, few, apart).distinct().join(tested, ["a", "b"], "left_anti"), similarity, files)
     wanted = likely.select("a", "b").union(many.select(F.col("node").alias("a"), F.col("node").alias("b")))
     texts = _texts(base, nodes, wanted)
     link(_overlapping(texts, likely, width, similarity).union(_indexed(texts, many, width, similarity)))
@@ -274,19 +275,19 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, ba
         huge = _with_pull(huge.drop("label"))
         pairs = _pairs(huge, _pivots(huge, PIVOTS), F.col("l.node") != F.col("r.node"))
         texts = _texts(base, nodes, huge.select(F.col("node").alias("a"), F.col("node").alias("b")))
-        link(_overlapping(texts, _likely(nodes, pairs.distinct(), similarity), width, similarity))
-        finer = _finer(_mixed(huge.select("key", "node"), labels))
-        mixed = _mixed(finer, labels)
+        link(_overlapping(texts, _likely(nodes, pairs.distinct(), similarity, files), width, similarity))
+        finer = _finer(_mixed(huge.select("key", "node"), labels, files), files)
+        mixed = _mixed(finer, labels, files)
         link(_indexed(texts, mixed.filter(F.col("n") <= MIDDLE), width, similarity))
         n, used = 8 * PIVOTS, None
         while True:
-            mixed = _mixed(finer, labels).filter(F.col("n") > MIDDLE)
+            mixed = _mixed(finer, labels, files).filter(F.col("n") > MIDDLE)
             fresh = _with_pull(mixed if used is None else mixed.join(used, ["key", "node"], "left_anti"))
-            chosen = materialise(_pivots(fresh, n))
+            chosen = materialise(_pivots(fresh, n), files)
             if chosen.isEmpty():
                 break
             pairs = _pairs(mixed, mixed.join(chosen, ["key", "node"], "left_semi"), F.col("l.label") != F.col("r.label"))
-            link(_overlapping(texts, _likely(nodes, pairs.distinct(), similarity), width, similarity))
+            link(_overlapping(texts, _likely(nodes, pairs.distinct(), similarity, files), width, similarity))
             used, n = chosen if used is None else used.union(chosen), 8 * n
 
     classes = signed.join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("class_key"))
@@ -307,10 +308,10 @@ def _with_both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return pairs.select("a", "b", f"{column}_a", f"{column}_b")
 
 
-def _likely(nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def _likely(nodes: DataFrame, pairs: DataFrame, similarity: float, files: int) -> DataFrame:
     """The pairs (a, b) whose sketches agree as those of similar texts do."""
     least = AGREE * similarity / 0.8
-    return materialise(_with_both(pairs, nodes, "sketch").mapInArrow(lambda it: _similar(it, least), "a long, b long"))
+    return materialise(_with_both(pairs, nodes, "sketch").transform(mapped, lambda it: _similar(it, least), "a long, b long"), files)
 
 
 def _texts(base: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -323,14 +324,14 @@ def _texts(base: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _overlapping(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs whose texts overlap by similarity or more."""
-    return _with_both(pairs, texts, "text").mapInArrow(lambda it: _compare(it, width, similarity), "a long, b long, similarity double")
+    return _with_both(pairs, texts, "text").transform(mapped, lambda it: _compare(it, width, similarity), "a long, b long, similarity double")
 
 
 def _indexed(texts: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
     """Links between the classes of the buckets in rows (key, node, label)."""
-    bags = texts.select("node", "text").mapInArrow(lambda it: _bags(it, width), "node long, bag binary")
+    bags = texts.select("node", "text").transform(mapped, lambda it: _bags(it, width), "node long, bag binary")
     dealt = rows.select("key", "node", "label").join(bags, "node").select("key", "node", "label", "bag").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(lambda it: _settle(it, similarity), "a long, b long, similarity double")
+    return dealt.transform(mapped, lambda it: _settle(it, similarity), "a long, b long, similarity double")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
