@@ -5,7 +5,7 @@ spelling; the SHA-256 digest of what is left is joined to the digests of known l
 done with each single line, for one-line notices. The known texts are a fixed list of this package, some
 kilobytes however large the input, so their side is broadcast.
 
-Only lines as long as a known notice are joined, and each document's lines meet again by its own key.
+Only lines as long as a known notice are digested; their digests are looked up in a map of the known ones.
 
 Defined cases: a null text has no digest and no licence; a text without letters and digits has a digest and no
 licence; repeated rows and null ids are kept; other columns stay.
@@ -54,14 +54,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     read = read.select(*[F.col(f"`{c}`") for c in own.columns], F.sha2(F.array_join("__lines", ""), 256).alias("digest"), F.transform(short, lambda x: F.sha2(x, 256)).alias("__short"))
     whole = table.filter("not is_notice").select(F.col("digest").alias("__digest"), "license")
     found = read.join(F.broadcast(whole), F.col("digest") == F.col("__digest"), "left").drop("__digest")
-    # the few lines that may be notices: joined, then gathered by a key of the document's own
-    keyed = found.withColumn("__row", F.xxhash64("digest", "__short"))
-    notices = table.filter("is_notice").select(F.col("digest").alias("__digest"), F.col("license").alias("__notice"))
-    named = keyed.filter(F.size("__short") > 0).select("__row", "__short").distinct()
-    named = named.select("__row", F.explode("__short").alias("__digest")).join(F.broadcast(notices), "__digest")
-    named = named.groupBy("__row").agg(F.array_sort(F.collect_set("__notice")).alias("notices")).withColumnRenamed("__row", "__named")
-    out = keyed.join(named, F.col("__row") == F.col("__named"), "left")
-    return out.select(*[F.col(f"`{c}`") for c in own.columns], "digest", "license", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
+    # a map of the known notices, as fixed as the list of them
+    known_notices = table.filter("is_notice").select("digest", "license").collect()
+    names = F.create_map(*[F.lit(v) for r in known_notices for v in r])
+    notices = F.array_sort(F.array_distinct(F.filter(F.transform("__short", lambda x: F.try_element_at(names, x)), lambda x: x.isNotNull())))
+    return found.select(*[F.col(f"`{c}`") for c in own.columns], "digest", "license", F.coalesce(notices, F.array().cast("array<string>")).alias("notices"))
 
 
 def oracle() -> str:
