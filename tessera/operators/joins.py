@@ -43,5 +43,6 @@ def positional_join(left: DataFrame, right: DataFrame, left_order: str, right_or
 def _placed(df: DataFrame, order: str) -> DataFrame:
     ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("n"), F.min("__id").alias("first"))
-    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b.__part") < F.col("a.__part"), "left").groupBy("a.__part", "a.first").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))  # a row for each partition
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    before = sizes.select("__part", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     return ranged.join(F.broadcast(before), "__part").withColumn("__place", F.col("before") + F.col("__id") - F.col("first")).drop("__part", "__id", "first", "before")

@@ -49,7 +49,7 @@ def read_csv(spark: SparkSession, path_or_buffer: Any, **options: Any) -> DataFr
             raise InvalidInputException(f"{' and '.join(given)} are the same option")
         return own[given[0]] if given else default
 
-    paths = gather(path_or_buffer, ".csv")
+    paths = gather(spark, path_or_buffer, ".csv")
     reader = spark.read
     header = get("header")
     if isinstance(header, int) and not isinstance(header, bool):

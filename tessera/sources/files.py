@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.errors import InvalidInputException
@@ -34,31 +35,36 @@ def filesystem_is_registered(name: str) -> bool:
     return name in _filesystems
 
 
-def gather(path_or_buffer: Any, suffix: str) -> list[str]:
-    """Paths that Spark can read. File objects, and paths of fsspec filesystems, are spooled to local files first."""
+def gather(spark: SparkSession, path_or_buffer: Any, suffix: str) -> list[str]:
+    """Paths that Spark can read. File objects, and paths of fsspec filesystems, are spooled to the shared folder first."""
     given = path_or_buffer if isinstance(path_or_buffer, (list, tuple)) else [path_or_buffer]
     if not given:
         raise InvalidInputException("no file is named")
     out = []
     for one in given:
         if hasattr(one, "read"):
-            out.append(_spool(one.read(), suffix))
+            out.append(_spool(spark, one.read(), suffix))
             continue
         path = os.fspath(one)
         scheme = path.split("://", 1)[0] if "://" in path else ""
         if scheme in _filesystems:
             with _filesystems[scheme].open(path, "rb") as f:
-                out.append(_spool(f.read(), suffix))
+                out.append(_spool(spark, f.read(), suffix))
         else:
             out.append(path)
     return out
 
 
-def _spool(data: str | bytes, suffix: str) -> str:
-    handle, path = tempfile.mkstemp(suffix=suffix)
-    with os.fdopen(handle, "wb") as f:
-        f.write(data.encode() if isinstance(data, str) else data)
-    return path
+def _spool(spark: SparkSession, data: str | bytes, suffix: str) -> str:
+    """Write a file object's content where driver and executors can read it."""
+    name = work_folder(spark) + suffix
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    out = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(path)
+    try:
+        out.write(bytearray(data.encode() if isinstance(data, str) else data))
+    finally:
+        out.close()
+    return name
 
 
 def with_file_options(df: DataFrame, filename: Any = None, file_row_number: bool = False) -> DataFrame:
@@ -69,9 +75,7 @@ def with_file_options(df: DataFrame, filename: Any = None, file_row_number: bool
     return df
 
 
-def work_folder(spark) -> str:
+def work_folder(spark: SparkSession) -> str:
     """A folder for intermediate files that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    import uuid
-
     top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
     return f"{top.rstrip('/')}/work-{uuid.uuid4().hex}"

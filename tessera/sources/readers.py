@@ -23,7 +23,7 @@ def read_json(
     """JSON files: an object a line (newline_delimited), arrays of objects (array), or either (auto)."""
     if format not in (None, "auto", "newline_delimited", "nd", "unstructured", "array"):
         raise InvalidInputException(f"format is auto, newline_delimited, unstructured or array, not {format}")
-    paths = gather(path_or_buffer, ".json")
+    paths = gather(spark, path_or_buffer, ".json")
     reader = spark.read
     whole = format in ("array", "unstructured")
     if format in (None, "auto"):
@@ -55,7 +55,7 @@ def read_parquet(
     spark: SparkSession, path_or_buffer: Any, binary_as_string: bool = False, *, file_row_number: bool = False, filename: Any = False, hive_partitioning: bool | None = None, union_by_name: bool = False, compression: str | None = None,
 ) -> DataFrame:
     """Parquet files; filters and columns reach the scan."""
-    df = spark.read.option("mergeSchema", union_by_name).parquet(*gather(path_or_buffer, ".parquet"))
+    df = spark.read.option("mergeSchema", union_by_name).parquet(*gather(spark, path_or_buffer, ".parquet"))
     if binary_as_string:
         df = df.select(*[F.col(f"`{f.name}`").cast("string").alias(f.name) if f.dataType == T.BinaryType() else F.col(f"`{f.name}`") for f in df.schema.fields])
     return with_file_options(df, filename, file_row_number)
