@@ -37,7 +37,7 @@ def write_parquet(
     if row_group_size:
         writer = writer.option("parquet.block.row.count.limit", int(row_group_size))
     if file_size_bytes:
-        width = max(1, sum(f.dataType.jsonValue() is not None and 16 for f in df.schema.fields))
+        width = max(1, sum(32 if f.dataType.simpleString() == "string" else 8 for f in df.schema.fields))  # an estimate of a row's bytes
         writer = writer.option("maxRecordsPerFile", max(1, int(file_size_bytes) // width))
     (writer.partitionBy(*names) if names else writer).parquet(file_name)
 
