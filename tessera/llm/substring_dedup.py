@@ -28,6 +28,8 @@ from tessera.llm.common import U64, blocks, bucket_count, by_bucket, column, map
 
 #: Words of an anchor. With windows of 13 words, 8 anchors' places in each.
 SEED_WORDS = 6
+#: Most windows of a run (its length travels in 16 bits); a text that repeats one word has longer ones.
+LONGEST_RUN = 1 << 15
 _SENT = "bucket int, doc_id long, text_hash long, begin int, end int, doc_ids binary, text_hashes binary, n_runs binary, starts binary, lengths binary, anchors binary, prints binary"
 _FOUND = "doc_id long, text_hash long, begin int, end int"
 
@@ -93,7 +95,7 @@ def _side_by_side(at: np.ndarray, owner: np.ndarray, keep: np.ndarray, same: np.
         return kept, kept
     breaks = (np.diff(at[kept]) != 1) | (np.diff(owner[kept]) != 0)
     if same is not None:
-        breaks |= np.diff(same[kept]) != 0
+        breaks |= (np.diff(same[kept]) != 0) | (at[kept[1:]] % LONGEST_RUN == 0)
     starts = np.append(0, np.flatnonzero(breaks) + 1)
     return kept[starts], np.diff(np.append(starts, len(kept)))
 

@@ -37,5 +37,11 @@ def test_a_common_passage_over_many_blocks(spark):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in remove_repeats(df).collect()), key=repr) == brute(rows, 13)
 
 
+def test_texts_of_one_word(spark):
+    rows = [(1, "same " * 70_000), (2, "same " * 70_000 + "x"), (3, "x " + "same " * 20)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 70_000, 0), (2, 70_001, 70_000), (3, 21, 20)]
+
+
 def test_empty(none):
     assert remove_repeats(none).collect() == []
