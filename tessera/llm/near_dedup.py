@@ -15,7 +15,8 @@ most). Of all bands, only buckets that then hold more than one linked class are
 members of different classes are compared: pair by pair in small buckets, by one inverted index of their
 runs in those of up to MIDDLE members. A larger bucket is cut finer, to members that share two bands, and
 what stays larger than MIDDLE meets eight times as many new pivots in each round, until one class is left or all
-have been pivots. So copies by the thousand cost a few comparisons each.
+have been pivots. So copies by the thousand cost a few comparisons each. The larger buckets that hold several classes
+even then are dealt by blocks of MIDDLE members, and the members outside the bucket's main class meet every block.
 
 Equal texts share a signature and are compared once. The classes are the connected components of the
 links; class_id is the smallest doc_id of a class.
@@ -40,8 +41,7 @@ from tessera.llm.common import U64, _BASE, blocks, column, few_files, mapped, ma
 BANDS, ROWS = 26, 5
 #: Bands that are looked at first.
 FIRST = 8
-#: Most documents of a bucket that are compared pair by pair, and by one index; pivots of a larger one. Two documents of
-#: similarity 0.8 share just one band, so that a bucket cut finer parts them, with a chance of 4e-4.
+#: Most documents of a bucket that are compared pair by pair, and by one index or in one block; pivots of a larger one.
 SMALL, MIDDLE, PIVOTS = 32, 2048, 2
 #: Sketches of less agreement aren't compared; for a similarity of 0.8 a chance of 1e-8.
 AGREE = 0.6
@@ -199,6 +199,44 @@ def _settle(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
         yield links()
 
 
+def _cross(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of the asking rows to the other classes of each block. Rows come sorted by bucket and block, the block's members first."""
+    least = AGREE * similarity / 0.8
+    key, held, out = None, [], []
+    nodes = labels = sketches = np.empty(0)
+    for batch in batches:
+        for row in batch.to_pylist():
+            if (row["key"], row["block"]) != key:
+                key, held = (row["key"], row["block"]), []
+            if not row["asks"]:
+                held.append(row)
+                nodes = np.empty(0)
+                continue
+            if not held:
+                continue
+            if not len(nodes):
+                nodes, labels = (np.array([r[k] for r in held]) for k in ("node", "label"))
+                sketches = np.frombuffer(b"".join(r["sketch"] for r in held), np.uint8).reshape(len(held), -1)
+            agree = (sketches == np.frombuffer(row["sketch"], np.uint8)).mean(1)
+            some = np.flatnonzero((agree >= least) & (labels != row["label"]))
+            if not len(some):
+                continue
+            own = np.sort(np.frombuffer(row["bag"], U64))
+            bags = [np.frombuffer(held[i]["bag"], U64) for i in some]
+            sizes = np.array(list(map(len, bags)))
+            elements = np.concatenate(bags)
+            same = own[np.minimum(np.searchsorted(own, elements), len(own) - 1)] == elements
+            shared = np.bincount(np.repeat(np.arange(len(some)), sizes), weights=same, minlength=len(some))
+            jaccard = shared / (len(own) + sizes - shared)
+            hits = np.flatnonzero(jaccard >= similarity)
+            for h in hits[np.unique(labels[some[hits]], return_index=True)[1]]:
+                other = int(nodes[some[h]])
+                out.append((min(row["node"], other), max(row["node"], other), jaccard[h]))
+        if out:
+            yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
+            out = []
+
+
 def components(links: DataFrame, files: int | None = None) -> DataFrame:
     """node, label for every node of links (a, b): the smallest node of its connected component."""
     edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -289,6 +327,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, ba
             pairs = _pairs(mixed, mixed.join(chosen, ["key", "node"], "left_semi"), F.col("l.label") != F.col("r.label"))
             link(_overlapping(texts, _likely(nodes, pairs.distinct(), similarity, files), width, similarity))
             used, n = chosen if used is None else used.union(chosen), 8 * n
+        rest = _mixed(huge.select("key", "node"), labels, files)
+        if not rest.isEmpty():
+            link(_blockwise(texts, nodes, rest, width, similarity))
 
     classes = signed.join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("class_key"))
     own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
@@ -334,6 +375,19 @@ def _indexed(texts: DataFrame, rows: DataFrame, width: int, similarity: float) -
     return dealt.transform(mapped, lambda it: _settle(it, similarity), "a long, b long, similarity double")
 
 
+def _blockwise(texts: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links between the classes of the buckets in rows (key, node, label, n), of any size."""
+    main = rows.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    n_blocks = F.ceil(F.col("n") / MIDDLE).cast("int")
+    bags = texts.select("node", "text").transform(mapped, lambda it: _bags(it, width), "node long, bag binary")
+    dealt = rows.join(main, "key").join(nodes.select("node", "sketch"), "node").join(bags, "node")
+    whole = ["key", "node", "label", "sketch", "bag"]
+    members = dealt.select(*whole, F.pmod(F.xxhash64("node"), n_blocks).cast("int").alias("block"), F.lit(False).alias("asks"))
+    asking = dealt.filter("label <> main").select(*whole, F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"), F.lit(True).alias("asks"))
+    sent = members.union(asking).repartition("key", "block").sortWithinPartitions("key", "block", "asks")
+    return sent.transform(mapped, lambda it: _cross(it, similarity), "a long, b long, similarity double")
+
+
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with one row of each class: that of the smallest doc_id. Rows without words all stay."""
     found = near_duplicates(docs, doc_id=doc_id, text=text, **options)

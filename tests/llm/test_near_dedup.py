@@ -71,6 +71,24 @@ def test_large_groups_of_copies(spark, monkeypatch, small, middle):
     assert sorted(((x.doc_id, x.class_id) for x in got.collect()), key=repr) == classes(rows)
 
 
+def test_links_do_not_depend_on_the_size_of_a_bucket(spark, monkeypatch):
+    r = random.Random(8)
+    rows = []
+    for i in range(60):
+        own = [f"w{j}" for j in range(100)]
+        for at in r.sample(range(20), 1 if i % 3 else 3):  # by its own and by a shared word
+            own[5 * at] = f"x{r.randrange(4)}" if i % 2 else f"y{i}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for small, middle in ((3, 2048), (3, 6)):
+        monkeypatch.setattr(near_dedup, "SMALL", small)
+        monkeypatch.setattr(near_dedup, "MIDDLE", middle)
+        found.append(sorted((x.doc_id, x.class_id) for x in near_duplicates(docs, bands=1, rows=1, similarity=0.88).collect()))
+    assert found[0] == found[1]
+    assert 1 < len({c for _, c in found[0]}) < 60
+
+
 def test_one_document_of_each_class_stays(docs, rows):
     kept = keep_first(docs)
     assert kept.columns == docs.columns
