@@ -152,7 +152,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
         return own.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
     own = own.filter(F.size("x") == usual["n"])
     copies = Window.partitionBy("x").orderBy("id")
-    filed = materialise(own.select("id", "x", F.row_number().over(copies).alias("copy")).filter(F.col("copy") <= k + 1).select("id", "x"))
+    once = own.select("id", "x").distinct()  # repeated rows count once among the k + 1
+    filed = materialise(once.select("id", "x", F.row_number().over(copies).alias("copy")).filter(F.col("copy") <= k + 1).select("id", "x"))
     queries = own.filter("asks").select("id", "x")
     total = filed.select("id").distinct().count()
 

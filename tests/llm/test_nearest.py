@@ -60,6 +60,12 @@ def test_equal_scores_go_to_the_smaller_id(spark):
     assert all([x.vec_id for x in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [i for i in ids if i != q][:3] for q in ids)
 
 
+def test_repeated_rows_of_equal_vectors_are_one_candidate(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(8)] * 5 + [(100 + i, [0.6, 0.8]) for i in range(8)]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 7, k=4).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(i, 1.0) for i in range(4)]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nearest(df, F.lit(True)).collect() == []
