@@ -6,7 +6,8 @@ document is cut to pieces of u / 2 runs, and each three pieces in a row are a se
 for: an item that stands in the document lies within one of them, so its share of that set is a quarter at
 least, however long the document is. Items and sets have a minimum for each of HASHES hash functions; an
 item is a candidate where one minimum agrees, and then the share of its runs that the whole document holds
-is counted exactly.
+is counted exactly. An item of up to EXACT distinct runs, or whose distinct runs fill less than half its part, is looked
+up by so many of its runs that a document which holds the share holds one of them; that misses none.
 
 Items go to all tasks in groups of at most GROUP_ITEMS and GROUP_BYTES; a larger benchmark takes several
 passes over the documents.
@@ -31,7 +32,8 @@ from tessera.llm.common import PUNCTUATION, U64, _BASE, blocks, column, mapped,
 WIDTH = 5
 #: A set of 1.5 u runs is missed by an item of u / 2 runs, of which it holds 0.8, with a chance of 1e-6.
 HASHES = 48
-SMALLEST = 8
+#: Items of up to so many distinct runs are looked up by their runs.
+EXACT = 8
 GROUP_ITEMS, GROUP_BYTES = 10_000, 16 << 20
 _FACTORS = mix(np.arange(1, HASHES + 1, dtype=U64) * U64(0xD1B54A32D192ED03)) | U64(1)
 
@@ -48,17 +50,25 @@ def _distinct(runs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Index:
-    """The items of a group: their distinct runs, and by part and hash function the sorted minima."""
+    """The items of a group: their distinct runs, by part and hash function the sorted minima, and the sorted runs that are looked up."""
 
-    def __init__(self, texts: pa.Array) -> None:
+    def __init__(self, texts: pa.Array, least: float) -> None:
         runs, counts = _runs(texts)
         self.runs, owner = _distinct(runs, np.repeat(np.arange(len(counts)), counts))
         self.counts = np.bincount(owner, minlength=len(counts))
         self.begins = np.cumsum(self.counts) - self.counts
-        part = np.maximum(np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64), int(np.log2(SMALLEST)))
+        part = np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64)
+        exact = (self.counts <= EXACT) | (2 * self.counts < 1 << part)
+        some = np.flatnonzero(exact & (self.counts > 0))
+        n = self.counts[some] - np.maximum(np.ceil(least * self.counts[some] - 1e-9).astype(np.int64), 1) + 1
+        keys, whose = self.runs[ranges(self.begins[some], n)], np.repeat(some, n)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.whose = keys[order], whose[order]
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[(keys & U64(0xFFFF)).astype(np.int64)] = True
         self.parts = []
-        for p in np.unique(part[self.counts > 0]).tolist():
-            items = np.flatnonzero((part == p) & (self.counts > 0))
+        for p in np.unique(part[~exact]).tolist():
+            items = np.flatnonzero((part == p) & ~exact)
             own = self.runs[ranges(self.begins[items], self.counts[items])]
             starts = np.cumsum(self.counts[items]) - self.counts[items]
             minima = np.stack([np.minimum.reduceat(own * f, starts) for f in _FACTORS])
@@ -84,7 +94,13 @@ def _find(batches: Iterator[pa.RecordBatch], index: Index, ids: pa.Array, least:
             first = np.cumsum(n_below) - n_below
             levels[p] = (np.repeat(first, n) + (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * size, owner)
             n_below, lowest = n, p - 1
+        at = np.flatnonzero(index.maybe[runs.astype(np.uint16)])
+        lo = np.searchsorted(index.keys, runs[at], "left")
+        n = np.searchsorted(index.keys, runs[at], "right") - lo
         found_docs, found_items = [], []
+        if n.any():
+            found_docs.append(np.repeat(np.repeat(np.arange(len(counts)), counts)[at], n))
+            found_items.append(index.whose[ranges(lo, n)])
         scaled = np.empty_like(runs)
         for i, factor in enumerate(_FACTORS):
             np.multiply(runs, factor, out=scaled)
@@ -132,7 +148,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, doc_id
     out = None
     for g in range(groups):
         group = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).toArrow()
-        index, ids = Index(column(group, "text")), column(group, "item_id")
+        index, ids = Index(column(group, "text"), least), column(group, "item_id")
         part = base.transform(mapped, lambda it, index=index, ids=ids: _find(it, index, ids, least), "doc_id long, text_hash long, item_id long, n_shared long, n_runs long, containment double")
         out = part if out is None else out.union(part)
     return out

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from tessera.llm.decontamination import drop_contaminated, find_items
@@ -50,6 +51,18 @@ def test_finds_what_brute_force_finds(spark, cases):
     assert all(r.containment == r.n_shared / r.n_runs >= 0.8 for r in rows)
 
 
+def test_short_and_repetitive_items_are_never_missed():
+    from tessera.llm import decontamination
+
+    r = random.Random(7)
+    items = [(i, " ".join(f"i{i}v{j}" for j in range(5 + i % 8))) for i in range(800)] + [(800 + i, " ".join(f"p{i}q{j % 11}" for j in range(60))) for i in range(50)]
+    docs = [(i, " ".join([t] + [f"z{r.randrange(5000)}" for _ in range(40)])) for i, t in items]
+    batch, texts = (pa.record_batch([pa.array([i for i, _ in x]), pa.array([t for _, t in x]), pa.array([i for i, _ in x])], names=["doc_id", "text", "text_hash"]) for x in (docs, items))
+    index = decontamination.Index(texts.column(1), 0.8)
+    found = [f for b in decontamination._find(iter([batch]), index, texts.column(0), 0.8) for f in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+    assert sorted(found) == [(i, i) for i, _ in items]
+
+
 def test_items_in_several_groups(spark, cases, monkeypatch):
     from tessera.llm import decontamination
 
