@@ -11,7 +11,9 @@ pre-token pattern, word ending and the decoding by single spaces are those of su
 checked when it is read.
 
 Defined cases: a null text counts as an empty one, with no tokens and an empty decoded text; special
-strings in a text become their tokens; repeated rows and null ids are kept; other columns stay.
+strings in a text become their tokens; repeated rows and null ids are kept; a text longer than a block is encoded
+alone and whole; other columns stay (one that has an output's name as that name and `_in`); an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blocks, column, mapped, ranges
+from tessera.llm.common import blocks, column, mapped, plain, ranges, schema_of
 
 NONE = np.int64(1) << 62
 #: Cells of the trees that grow side by side.
@@ -57,7 +59,8 @@ class Vocabulary:
             raise ValueError(f"{path} isn't a BPE vocabulary with word endings as this encoder takes it")
         self.cut = regex.compile(said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.special = {t["content"]: t["id"] for t in said["added_tokens"]}
-        self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
+        self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda text: [text]
+        self.marks = {s[0] for s in self.special if s}
         names = {i: s for s, i in ids.items()} | {i: s for s, i in self.special.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.inner = np.array([ids[c] for c in _byte_characters()], np.int64)
@@ -148,7 +151,7 @@ class Vocabulary:
 
     def chunks(self, text: str) -> list[str]:
         """A text as its stretches without white space, normalised; special strings as they stand, after a space."""
-        parts = self.split(text) if "<" in text else [text]
+        parts = self.split(text) if any(m in text for m in self.marks) else [text]
         out: list[str] = []
         for i, part in enumerate(parts):
             if i % 2:
@@ -195,9 +198,9 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, most_bytes=4 << 20):
-        ids, counts, decoded = vocabulary(path).encode([t or "" for t in column(block, "text").to_pylist()])
+def _encode(batches: Iterator[pa.RecordBatch], path: str, text: str) -> Iterator[pa.RecordBatch]:
+    for block in blocks(batches, text, most_bytes=4 << 20):
+        ids, counts, decoded = vocabulary(path).encode([t or "" for t in column(block, text).to_pylist()])
         ends = np.cumsum(counts)
         data = ids.astype("<u4").tobytes()
         packed = pa.array([data[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), counts.tolist())], pa.binary())
@@ -207,8 +210,5 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """docs with n_tokens, ids (little-endian unsigned 32-bit integers) and decoded, the text that the ids give."""
-    own = docs.drop("n_tokens", "ids", "decoded")
-    own = own if text == "text" else own.withColumnRenamed(text, "text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields), "n_tokens long, ids binary, decoded string"])
-    out = own.transform(mapped, lambda it: _encode(it, path), schema)
-    return out if text == "text" else out.withColumnRenamed("text", text)
+    own, at, back = plain(docs)
+    return back(own.transform(mapped, lambda it: _encode(it, path, at(text)), schema_of(own, "n_tokens long", "ids binary", "decoded string")))

@@ -10,7 +10,9 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import itertools
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -204,34 +206,87 @@ def block_numbers() -> Iterator[int]:
     return itertools.count(first)
 
 
-def sum_blocks(batches: Iterator[pa.RecordBatch], kind: type, finish: Callable[[dict, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add up the sums (binary, of a kind) of each block, and the single values (user, value); finish(head, sums) makes a block's rows.
+def planes(values: np.ndarray) -> bytes:
+    """Whole numbers as byte planes: all lowest bytes, then all second ones and so on, so that small numbers compress well."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def pack(*parts: bytes) -> bytes:
+    """Byte strings as one."""
+    return b"".join([np.array([len(parts), *map(len, parts)], "<i8").tobytes(), *parts])
+
+
+def unpack(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    ends = 8 * (n + 1) + np.cumsum(np.frombuffer(data, "<i8", n, 8))
+    return [data[b:e] for b, e in zip([8 * (n + 1), *ends[:-1].tolist()], ends.tolist())]
+
+
+#: What blocks ask of buckets: items from place `begin` of the block's list on; and a block's own row, its head.
+ASKED = "bucket int, block long, begin int, items binary, head binary"
+#: A value for each item from place `begin` of the block's list on; and heads as they came.
+ANSWERED = "block long, begin int, values binary, head binary"
+_ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("begin", pa.int32()), ("items", pa.binary()), ("head", pa.binary())])
+_ANSWERED = pa.schema([("block", pa.int64()), ("begin", pa.int32()), ("values", pa.binary()), ("head", pa.binary())])
+
+
+def questions(n_buckets: int, block: int, bucket: np.ndarray, items: Callable[[int, int], bytes], head: bytes | None) -> pa.RecordBatch:
+    """A block's rows: its items, which lie sorted by bucket, a row for each bucket that has some; and its head, if it awaits answers."""
+    cuts = np.append(np.flatnonzero(np.append(True, np.diff(bucket) != 0)), len(bucket)).tolist() if len(bucket) else [0]
+    rows = [(int(bucket[a]), block, a, items(a, b), None) for a, b in zip(cuts[:-1], cuts[1:])]
+    if head is not None:
+        rows.append((block % n_buckets, block, None, None, head))
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _ASKED)] if rows else [pa.array([], f.type) for f in _ASKED], schema=_ASKED)
+
+
+def answers(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of (block, begin, values, head)."""
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _ANSWERED)], schema=_ANSWERED)
+
+
+def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Each block's head and the values of all its items. Rows come sorted by block."""
+    block, head, parts = None, None, []
+
+    def whole() -> tuple[bytes, np.ndarray]:
+        parts.sort(key=lambda x: x[0])
+        return head, np.concatenate([from_planes(v) for _, v in parts]) if parts else np.empty(0, np.int64)
 
-    A block's head is its row whose doc_ids isn't null.
-    """
-    sums: dict[int, np.ndarray] = {}
-    heads: dict[int, dict] = {}
     for batch in batches:
-        for row in batch.to_pylist():
-            block = row["block"]
-            if row["doc_ids"] is not None:
-                heads[block] = row
-                more = np.zeros(len(row["doc_ids"]) // 8, kind)
-            elif row["sums"] is not None:
-                more = np.frombuffer(row["sums"], kind)
-            else:
-                more = np.zeros(row["user"] + 1, kind)
-                more[row["user"]] = row["value"]
-            have = sums.get(block)
-            if have is None:
-                sums[block] = more.copy()
-            elif len(have) >= len(more):
-                have[: len(more)] += more
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[0] != block:
+                if head is not None:
+                    yield whole()
+                block, head, parts = row[0], None, []
+            if row[3] is not None:
+                head = row[3]
             else:
-                sums[block] = more.copy()
-                sums[block][: len(have)] += have
-    for block, head in heads.items():
-        yield finish(head, sums[block])
+                parts.append((row[1], row[2]))
+    if head is not None:
+        yield whole()
+
+
+def ask(asked: DataFrame, n_buckets: int, answer: Callable, finish: Callable, schema: str) -> DataFrame:
+    """Deal what blocks ask to the buckets, and the answers back to the blocks.
+
+    An item of a block costs its own bytes and those of its value, however many buckets there are.
+    """
+    found = by_bucket(asked, n_buckets).transform(mapped, answer, ANSWERED)
+    return found.repartition("block").sortWithinPartitions("block").transform(mapped, finish, schema)
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """df, if its partitions hold the same rows in the same order whenever they are computed (scans do), else a written copy.
+
+    Blocks are known by partition and place, so a task that runs again must see the same blocks.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().treeString()
+    kinds = {re.match(r"[\s:+|-]*(\w+)", x)[1] for x in plan.splitlines() if re.match(r"[\s:+|-]*(\w+)", x)}
+    return df if kinds <= {"Relation", "RelationV2", "Project", "Filter", "LocalRelation", "Range"} else materialise(df)
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -252,9 +307,11 @@ def by_bucket(df: DataFrame, n: int) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, or a temporary one where it is unset (as in tests)."""
+    """The folder for intermediate tables: spark.checkpoint.dir. Where it is unset, a temporary one, on a single machine only."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(got)
     return got
@@ -265,12 +322,51 @@ def few_files(df: DataFrame, file_bytes: int = 64 << 20) -> int:
     return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(8, input_bytes(df) // file_bytes)))
 
 
+_scopes = threading.local()
+
+
+class Scratch:
+    """Removes the tables that are materialised in it when it ends, also by an error; those of `result` stay."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        self.outer, _scopes.paths = getattr(_scopes, "paths", None), self.paths
+        return self
+
+    def __exit__(self, *error) -> None:
+        _scopes.paths = self.outer
+        for path in self.paths:
+            _remove(self.spark, path)
+
+    def result(self, df: DataFrame, files: int | None = None) -> DataFrame:
+        """df written so that it outlives this scope (it belongs to the one around it, if any)."""
+        _scopes.paths = self.outer
+        try:
+            return materialise(df, files)
+        finally:
+            _scopes.paths = self.paths
+
+
+def _remove(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(place) if at_exit else files.delete(place, True)
+
+
 def materialise(df: DataFrame, files: int | None = None) -> DataFrame:
-    """Write a frame as Parquet to the shared folder, in so many files if given, and read it back, which cuts its lineage."""
+    """Write a frame as Parquet to the shared folder, in so many files if given, and read it back, which cuts its lineage.
+
+    The table goes when the Scratch around it ends, at the latest when the driver does.
+    """
     spark = df.sparkSession
     df = df.repartition(files) if files else df
     path = f"{shared_folder(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    if (paths := getattr(_scopes, "paths", None)) is not None:
+        paths.append(path)
     df.write.parquet(path)
+    _remove(spark, path, at_exit=True)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -278,6 +374,38 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def named(df: DataFrame, **names: str | Column) -> DataFrame:
-    """Just these columns under these names, so that other columns of the input can't clash."""
-    return df.select(*[(df[c] if isinstance(c, str) else c).alias(n) for n, c in names.items()])
+def quoted(name: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def plain(df: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """df with its columns named c0, c1, ..., which nothing here clashes with; the new name of a column; and the way back.
+
+    On the way back an input column that has the name of an added one is kept as that name and `_in`.
+    """
+    names = df.columns
+
+    def at(name: str) -> str:
+        found = [i for i, n in enumerate(names) if n == name] or [i for i, n in enumerate(names) if n.lower() == name.lower()]
+        if not found:
+            raise ValueError(f"there is no column {name!r} among {names}")
+        return f"c{found[0]}"
+
+    def back(out: DataFrame) -> DataFrame:
+        own = {f"c{i}": n for i, n in enumerate(names)}
+        taken = {c.lower() for c in out.columns if c not in own}
+        final = []
+        for c in out.columns:
+            name = own.get(c, c)
+            while c in own and name.lower() in taken:
+                name += "_in"
+            final.append(name)
+        return out.toDF(*final)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]), at, back
+
+
+def schema_of(df: DataFrame, *more: str) -> str:
+    """The schema text of df (of plain names) and more columns."""
+    return ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields), *more])

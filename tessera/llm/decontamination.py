@@ -9,12 +9,13 @@ item is a candidate where one minimum agrees, and then the share of its runs tha
 is counted exactly. An item of up to EXACT distinct runs, or whose distinct runs fill less than half its part, is looked
 up by so many of its runs that a document which holds the share holds one of them; that misses none.
 
-Items go to all tasks in groups of at most GROUP_ITEMS and GROUP_BYTES; a larger benchmark takes several
-passes over the documents.
+Items go to all tasks in groups of about GROUP_ITEMS and GROUP_BYTES at most, as texts that each task indexes; a larger
+benchmark takes a pass over the documents for each group, and the driver holds one group at a time.
 
 Defined cases: an item or document of one to four words has one run, all its words; null texts hold
 nothing; equal benchmark rows count once; repeated rows of documents are each reported; null ids are
-kept; empty tables give an empty result.
+kept; a text longer than a block is a block of its own, searched whole; other columns, whatever their names, take no
+part in `find_items` and stay in `drop_contaminated`; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import PUNCTUATION, U64, _BASE, blocks, column, mapped, mix, ranges, shingles
+from tessera.llm.common import PUNCTUATION, U64, _BASE, blocks, column, mapped, materialise, mix, plain, ranges, shingles
 
 WIDTH = 5
 #: A set of 1.5 u runs is missed by an item of u / 2 runs, of which it holds 0.8, with a chance of 1e-6.
@@ -141,15 +142,18 @@ def _find(batches: Iterator[pa.RecordBatch], index: Index, ids: pa.Array, least:
 
 def find_items(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, n_shared, n_runs, containment (and text_hash of the document) where a document holds `least` of an item's runs."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).distinct()
+    named, of, _ = plain(benchmark)
+    items = named.select(F.col(of(item_id)).cast("long").alias("item_id"), F.col(of(item_text)).alias("text")).distinct()
     size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     groups = max(1, -(-size[0] // GROUP_ITEMS), -(-(size[1] or 0) // GROUP_BYTES))
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
+    own, at, _ = plain(docs)
+    base = own.select(F.col(at(doc_id)).cast("long").alias("doc_id"), F.col(at(text)).alias("text"), F.xxhash64(at(text)).alias("text_hash"))
     out = None
     for g in range(groups):
         group = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).toArrow()
-        index, ids = Index(column(group, "text"), least), column(group, "item_id")
-        part = base.transform(mapped, lambda it, index=index, ids=ids: _find(it, index, ids, least), "doc_id long, text_hash long, item_id long, n_shared long, n_runs long, containment double")
+        texts, ids = column(group, "text"), column(group, "item_id")
+        part = base.transform(mapped, lambda it, texts=texts, ids=ids: _find(it, Index(texts, least), ids, least), "doc_id long, text_hash long, item_id long, n_shared long, n_runs long, containment double")
+        part = materialise(part) if groups > 1 else part
         out = part if out is None else out.union(part)
     return out
 
@@ -157,4 +161,5 @@ def find_items(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, doc_id
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that hold an item."""
     found = find_items(docs, benchmark, least, doc_id, text).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__hash")), "left_anti")
+    own, at, back = plain(docs)
+    return back(own.join(found, F.col(at(doc_id)).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(at(text)) == F.col("__hash")), "left_anti"))

@@ -8,7 +8,8 @@ kilobytes however large the input, so their side is broadcast.
 Only lines as long as a known notice are digested; their digests are looked up in a map of the known ones.
 
 Defined cases: a null text has no digest and no licence; a text without letters and digits has a digest and no
-licence; repeated rows and null ids are kept; other columns stay.
+licence; repeated rows and null ids are kept; texts of any length are digested whole; other columns stay (one that
+has an output's name as that name and `_in`); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import plain
 from tessera.llm.license_texts import LICENSES, NOTICES, SPELLINGS
 
 #: A line of a copyright notice, once stripped.
@@ -47,18 +49,18 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with digest, license (of the whole text, null if unknown) and notices (licences that single lines name, sorted)."""
     table = known(docs.sparkSession)
     sizes = sorted({r[0] for r in table.filter("is_notice").select("size").distinct().collect()})  # one for each known notice at most
-    own = docs.drop("digest", "license", "notices")
-    lines = canonical_lines(F.col(f"`{text}`"))
+    own, at, back = plain(docs)
+    lines = canonical_lines(F.col(at(text)))
     short = F.array_distinct(F.filter("__lines", lambda x: F.length(x).isin(sizes)))
     read = own.withColumn("__lines", lines)
-    read = read.select(*[F.col(f"`{c}`") for c in own.columns], F.sha2(F.array_join("__lines", ""), 256).alias("digest"), F.transform(short, lambda x: F.sha2(x, 256)).alias("__short"))
+    read = read.select(*own.columns, F.sha2(F.array_join("__lines", ""), 256).alias("digest"), F.transform(short, lambda x: F.sha2(x, 256)).alias("__short"))
     whole = table.filter("not is_notice").select(F.col("digest").alias("__digest"), "license")
     found = read.join(F.broadcast(whole), F.col("digest") == F.col("__digest"), "left").drop("__digest")
     # a map of the known notices, as fixed as the list of them
     known_notices = table.filter("is_notice").select("digest", "license").collect()
     names = F.create_map(*[F.lit(v) for r in known_notices for v in r])
     notices = F.array_sort(F.array_distinct(F.filter(F.transform("__short", lambda x: F.try_element_at(names, x)), lambda x: x.isNotNull())))
-    return found.select(*[F.col(f"`{c}`") for c in own.columns], "digest", "license", F.coalesce(notices, F.array().cast("array<string>")).alias("notices"))
+    return back(found.select(*own.columns, "digest", "license", F.coalesce(notices, F.array().cast("array<string>")).alias("notices")))
 
 
 def oracle() -> str:

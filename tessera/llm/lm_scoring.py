@@ -1,20 +1,19 @@
-"""Stupid-backoff scores of documents from word and word-pair counts of a corpus.
-
-A word after another scores log(c(pair) / c(first)) if the corpus has the pair, where c(first) counts the
-first word's occurrences that a word follows; else log(alpha * c(word) / N). A document's first word
-scores log(c(word) / N), and a word that the corpus lacks counts as 1 / (N + 1). A document's score is the
-sum over its words.
-
-Word counts are one table, summed by bucket of the word's hash. Pairs are exploded a block of documents at
-a time; each distinct pair of a block travels once to the bucket of its first word, with its count and the
-documents that want it, so pair and context counts meet their uses there. A context that holds more than
-a 4 * buckets-th part of the corpus would fill a bucket: there are at most 4 * buckets such words, so
-they and their counts are handed to all tasks, and their pairs are dealt by both words. Pairs that the
-corpus lacks back off to a join with the word counts.
-
-Defined cases: a null text has no words and scores 0; an empty corpus gives each word 1 / (N + 1), which is
-1; null ids and repeated rows are kept (repeated rows count in the corpus as often as they stand there);
-an empty table gives an empty result.
+"""Stupid-backoff scores of documents from the n-gram counts of a corpus, orders 1 to ORDER.
+
+A word scores log(c(n-gram that ends in it) / c(the n-gram's first words)) if the corpus has the n-gram,
+else log(alpha) more than by the n-gram shorter by a word; a single word scores log(c(word) / N), or
+-log(N + 1) if the corpus lacks it. A document's score is the sum over its words. Where the corpus is the
+scored table itself, a document's own n-grams are left out of all its counts, so backoff takes effect.
+
+N-gram counts are tables partitioned by the n-gram's hash. A block of documents is exploded to its distinct
+n-grams; each travels once to the bucket of its hash, with its count in the block. The bucket sums the counts,
+joins them to the n-grams that blocks ask for, and the counts go back to the block, where the words are
+scored and summed by document. A word that a third of the corpus consists of travels once a block.
+
+Defined cases: a null text has no words and scores 0; an empty corpus (or one that is the document alone) gives each
+word -log(1) = 0, and log(alpha) for each order that it backs off; null ids and repeated rows are kept, and each of
+several equal rows has the others in its corpus; a text longer than a block is a block of its own, scored whole;
+other columns, whatever their names, take no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,185 +25,141 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, _BASE, block_numbers, blocks, bucket_count, by_bucket, column, mapped, materialise, mix, position_in_group, ranges, sum_blocks, word_hashes
-
-ALPHA = 0.4
-_COUNTS = "bucket int, words binary, counts binary, followed binary"
-_PAIRS = "bucket int, block long, doc_ids binary, nulls binary, sizes binary, starts binary, n_docs int, firsts binary, n_seconds binary, seconds binary, counts binary, uses binary, users binary"
-_PARTS = "block long, doc_ids binary, nulls binary, sizes binary, sums binary, user int, word long, times long, backed int"
-
-
-def _binary(schema: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
-    return pa.schema([(n, kinds[t]) for n, t in (f.split() for f in schema.split(", "))])
-
-
-def _batch(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
-
-
-def _send_counts(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
-    schema = _binary(_COUNTS)
-    for block in blocks(batches):
-        words, counts = word_hashes(column(block, "text"))
-        if not len(words):
-            continue
-        last = np.zeros(len(words), bool)
-        last[np.cumsum(counts)[counts > 0] - 1] = True
-        distinct, inverse, n = np.unique(words, return_inverse=True, return_counts=True)
-        followed = n - np.bincount(inverse[last], minlength=len(distinct))
-        bucket = (distinct % U64(n_buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.append(np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)), len(order))
-        cols: list[list] = [[], [], [], []]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            at = order[a:b]
-            for c, v in zip(cols, (int(bucket[at[0]]), distinct[at].tobytes(), n[at].astype(np.int32).tobytes(), followed[at].astype(np.int32).tobytes())):
-                c.append(v)
-        yield _batch(schema, len(cols[0]), **dict(zip(schema.names, cols)))
-
-
-def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts: list[list[np.ndarray]] = [[], [], []]
-    for batch in batches:
-        for held, name, kind in zip(parts, ("words", "counts", "followed"), (U64, np.int32, np.int32)):
-            held += [np.frombuffer(x.as_py(), kind) for x in batch.column(name)]
-    if parts[0]:
-        words, inverse = np.unique(np.concatenate(parts[0]), return_inverse=True)
-        n, followed = (np.bincount(inverse, weights=np.concatenate(p)).astype(np.int64) for p in parts[1:])
-        yield pa.record_batch([pa.array(words.view(np.int64)), pa.array(n), pa.array(followed)], names=["word", "n", "followed"])
-
-
-def word_counts(corpus: DataFrame, text: str = "text") -> DataFrame:
-    """word (its hash), n, and followed: how often another word comes after it."""
-    n = bucket_count(corpus)
-    sent = corpus.select(F.col(text).alias("text")).transform(mapped, lambda it: _send_counts(it, n), _COUNTS)
-    return by_bucket(sent, n).transform(mapped, _sum_counts, "word long, n long, followed long")
-
-
-def _send_pairs(batches: Iterator[pa.RecordBatch], n_buckets: int, hot: np.ndarray, is_corpus: bool, is_scored: bool) -> Iterator[pa.RecordBatch]:
-    schema = _binary(_PAIRS)
-    for block, table in zip(block_numbers(), blocks(batches)):
+from tessera.llm.common import (
+    ASKED, U64, answered, answers, ask, block_numbers, blocks, bucket_count, by_bucket, column, from_planes, mapped, pack, plain, planes, position_in_group, questions, steady, unpack, window_hashes, word_hashes,
+)
+
+ALPHA, ORDER = 0.4, 3
+#: Text of a block.
+BLOCK_BYTES = 2 << 20
+_ORDERS = U64(0xD1B54A32D192ED03)
+
+
+def _grams(words: np.ndarray, counts: np.ndarray, order: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """The distinct n-grams of a block by bucket and hash, their buckets, for each order the place of the n-gram that ends at each word (-1: none), and how often each n-gram stands in the block."""
+    place = position_in_group(counts)
+    ends = [np.flatnonzero(place >= k) for k in range(order)]
+    hashes = [(window_hashes(words, k + 1) + U64(k) * _ORDERS)[at - k] for k, at in enumerate(ends)]
+    distinct, inverse, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    bucket = (distinct % U64(n_buckets)).astype(np.int64)
+    by_bucket = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(distinct), np.int64)
+    rank[by_bucket] = np.arange(len(distinct))
+    code, begin, codes = rank[inverse], 0, []
+    for at in ends:
+        own = np.full(len(words), -1, np.int64)
+        own[at] = code[begin : begin + len(at)]
+        begin += len(at)
+        codes.append(own)
+    return distinct[by_bucket], bucket[by_bucket], codes, n[by_bucket]
+
+
+def _send(batches: Iterator[pa.RecordBatch], order: int, n_buckets: int, counts_in: bool, is_scored: bool) -> Iterator[pa.RecordBatch]:
+    for block, table in zip(block_numbers(), blocks(batches, most_bytes=BLOCK_BYTES)):
         words, counts = word_hashes(column(table, "text"))
-        if is_scored:  # the block itself, with its documents' first words, rides along
+        grams, bucket, codes, n = _grams(words, counts, order, n_buckets)
+        head = None
+        if is_scored:
             ids = column(table, "doc_id")
-            starts = np.zeros(len(counts), U64)
-            starts[counts > 0] = words[(np.cumsum(counts) - counts)[counts > 0]]
-            yield _batch(schema, 1, bucket=[block % n_buckets], block=[block], doc_ids=[ids.fill_null(0).to_numpy().tobytes()], nulls=[ids.is_null().to_numpy(zero_copy_only=False).tobytes()], sizes=[counts.tobytes()], starts=[starts.tobytes()])
-        at = np.flatnonzero(position_in_group(counts) + 1 < np.repeat(counts, counts))
-        if not len(at):
-            continue
-        owner = np.repeat(np.arange(len(counts)), counts)[at]
-        distinct, inverse = np.unique(words, return_inverse=True)
-        home = (mix(distinct) % U64(n_buckets)).astype(np.int64)
-        by_home = np.argsort(home, kind="stable")
-        place = np.empty(len(distinct), np.int64)
-        place[by_home] = np.arange(len(distinct))
-        distinct, home = distinct[by_home], home[by_home]
-        one, two = place[inverse[at]], place[inverse[at + 1]]
-        pair = one << 32 | two
-        order = np.argsort(pair, kind="stable")  # by bucket, then first word, second word and document
-        pair, owner = pair[order], owner[order]
-        new = np.flatnonzero(np.append(True, np.diff(pair) != 0))
-        uses = np.diff(np.append(new, len(pair)))
-        one, two = pair[new] >> 32, pair[new] & 0xFFFFFFFF
-        bucket = home[one]
-        spread = np.isin(distinct, hot)[one]
-        if spread.any():
-            bucket[spread] = (mix(distinct[one[spread]] * U64(_BASE) + distinct[two[spread]]) % U64(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            owner = owner[ranges(new[order], uses[order])]
-            one, two, uses, bucket = one[order], two[order], uses[order], bucket[order]
-        ends = np.cumsum(uses)
-        cuts = np.append(np.flatnonzero(np.append(True, np.diff(bucket) != 0)), len(one))
-        cols: dict[str, list] = {n: [] for n in ("bucket", "firsts", "n_seconds", "seconds", "counts", "uses", "users")}
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            lead = np.flatnonzero(np.append(True, np.diff(one[a:b]) != 0))
-            cols["bucket"].append(int(bucket[a]))
-            cols["firsts"].append(distinct[one[a:b][lead]].tobytes())
-            cols["n_seconds"].append(np.diff(np.append(lead, b - a)).astype(np.int32).tobytes())
-            cols["seconds"].append(distinct[two[a:b]].tobytes())
-            n = uses[a:b].astype(np.int32)
-            cols["counts"].append((n * is_corpus).tobytes())
-            cols["uses"].append((n * is_scored).tobytes())
-            cols["users"].append(owner[ends[a] - uses[a] : ends[b - 1]].astype(np.uint16).tobytes() if is_scored else b"")
-        yield _batch(schema, len(cols["bucket"]), block=np.full(len(cols["bucket"]), block), n_docs=np.full(len(cols["bucket"]), len(counts)), **cols)
-
-
-def _score(batches: Iterator[pa.RecordBatch], hot: np.ndarray, hot_followed: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Scores of a bucket's pairs, summed for each document of a block; pairs that the corpus lacks go on as their second word."""
-    schema = _binary(_PARTS)
-    kinds = {"firsts": U64, "n_seconds": np.int32, "seconds": U64, "counts": np.int32, "uses": np.int32, "users": np.uint16}
-    rows: list[dict] = []
+            distinct, inverse, uses = np.unique(words, return_inverse=True, return_counts=True)
+            often = np.argsort(-uses, kind="stable")  # frequent words have small numbers
+            rank = np.empty(len(distinct), np.int64)
+            rank[often] = np.arange(len(distinct))
+            head = pack(ids.fill_null(0).to_numpy().tobytes(), ids.is_null().to_numpy(zero_copy_only=False).tobytes(), planes(counts), distinct[often].tobytes(), planes(rank[inverse]))
+        n = n * counts_in
+        yield questions(n_buckets, block, bucket, lambda a, b: pack(grams[a:b].tobytes(), planes(n[a:b])), head)  # noqa: B023
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of a bucket's n-grams, for each block that asks."""
+    asked, grams, counts = [], [], []
     for batch in batches:
-        for r in batch.to_pylist():
-            if r["doc_ids"] is None:
-                rows.append({k: np.frombuffer(r[k], kind) for k, kind in kinds.items()} | {k: r[k] for k in ("block", "n_docs")})
-                continue
-            yield _batch(schema, 1, **{k: [r[k]] for k in ("block", "doc_ids", "nulls", "sizes")})
-            has = np.flatnonzero(np.frombuffer(r["sizes"], np.int64) > 0)
-            yield _batch(schema, len(has), block=np.full(len(has), r["block"]), user=has, word=np.frombuffer(r["starts"], np.int64)[has], times=np.ones(len(has), np.int64), backed=np.zeros(len(has), np.int32))
-    if not rows:
-        return
-    first = np.concatenate([np.repeat(r["firsts"], r["n_seconds"]) for r in rows])
-    counts = np.concatenate([r["counts"] for r in rows]).astype(np.float64)
-    _, pair = np.unique(mix(first * U64(_BASE) + np.concatenate([r["seconds"] for r in rows])), return_inverse=True)
-    seen = np.bincount(pair, weights=counts)[pair]
-    del pair
-    contexts, context = np.unique(first, return_inverse=True)
-    followed = np.bincount(context, weights=counts)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, contexts), len(hot) - 1)
-        followed = np.where(hot[at] == contexts, hot_followed[at], followed)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        value = np.where(seen > 0, np.log(seen) - np.log(followed[context]), 0.0)
-    begin = 0
-    for r in rows:
-        n = len(r["seconds"])
-        mine, lacks = value[begin : begin + n], seen[begin : begin + n] == 0
-        begin += n
-        if not len(r["users"]):
-            continue
-        sums = np.bincount(r["users"], weights=np.repeat(mine, r["uses"]), minlength=r["n_docs"])
-        yield _batch(schema, 1, block=[r["block"]], sums=[sums.tobytes()])
-        if lacks.any():
-            away = np.repeat(lacks, r["uses"])
-            user, word = r["users"][away], np.repeat(r["seconds"], r["uses"])[away]
-            n = len(user)
-            yield _batch(schema, n, block=np.full(n, r["block"]), user=user.astype(np.int32), word=word.view(np.int64), times=np.ones(n, np.int64), backed=np.ones(n, np.int32))
-
-
-def _finish(head: dict, sums: np.ndarray) -> pa.RecordBatch:
-    ids = pa.array(np.frombuffer(head["doc_ids"], np.int64), mask=np.frombuffer(head["nulls"], bool))
-    return pa.record_batch([ids, pa.array(np.frombuffer(head["sizes"], np.int64)), pa.array(sums)], names=["doc_id", "n_words", "score"])
-
-
-def backoff_scores(docs: DataFrame, corpus: DataFrame | None = None, alpha: float = ALPHA, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words and score of each row of docs by the counts of corpus (docs itself, if none is given)."""
-    source = docs if corpus is None else corpus
-    n = bucket_count(source if corpus is None else source.select(text).union(docs.select(text)))
-    table = materialise(word_counts(source, text))
-    total = table.agg(F.sum("n")).first()[0] or 0
-    often = table.filter(F.col("followed") > total / (4 * n)).select("word", "followed").toArrow()  # 4 * n rows at most
-    hot = column(often, "word").to_numpy().view(U64)
-    order = np.argsort(hot)
-    hot, hot_followed = hot[order], column(often, "followed").to_numpy().astype(np.float64)[order]
-
-    def sent(of: DataFrame, is_corpus: bool, is_scored: bool) -> DataFrame:
-        ids = F.col(doc_id).cast("long") if is_scored else F.lit(0).cast("long")
-        base = of.select(ids.alias("doc_id"), F.col(text).alias("text"))
-        return base.transform(mapped, lambda it: _send_pairs(it, n, hot, is_corpus, is_scored), _PAIRS)
-
-    pairs = sent(docs, corpus is None, True)
-    if corpus is not None:
-        pairs = pairs.union(sent(corpus, True, False))
-    parts = materialise(by_bucket(pairs, n).transform(mapped, lambda it: _score(it, hot, hot_followed), _PARTS))
-    sums = parts.filter("word is null").select("block", "doc_ids", "nulls", "sizes", "sums", F.lit(None).cast("int").alias("user"), F.lit(None).cast("double").alias("value"))
-    words = parts.filter("word is not null").groupBy("block", "user", "word").agg(F.sum("times").alias("times"), F.sum("backed").alias("backed"))
-    words = words.join(table.select("word", "n"), "word", "left")
-    log = F.coalesce(F.log(F.col("n") / F.lit(float(max(total, 1)))), F.lit(-float(np.log(total + 1))))
-    none = F.lit(None).cast("binary")
-    value = F.col("times") * log + F.col("backed") * F.lit(float(np.log(alpha)))
-    words = words.select("block", none.alias("doc_ids"), none.alias("nulls"), none.alias("sizes"), none.alias("sums"), "user", value.alias("value"))
-    words = words.groupBy("block", "doc_ids", "nulls", "sizes", "sums", "user").agg(F.sum("value").alias("value"))
-    return sums.union(words).repartition("block").transform(mapped, lambda it: sum_blocks(it, np.float64, _finish), "doc_id long, n_words long, score double")
+        heads = []
+        for _, block, begin, items, head in zip(*(c.to_pylist() for c in batch.columns)):
+            if head is not None:
+                heads.append((block, None, None, head))
+            else:
+                own, n = unpack(items)
+                grams.append(np.frombuffer(own, U64))
+                counts.append(from_planes(n))
+                asked.append((block, begin, len(grams[-1])))
+        if heads:
+            yield answers(heads)
+    if asked:
+        every, counts = np.concatenate(grams), np.concatenate(counts)
+        del grams
+        _, inverse = np.unique(every, return_inverse=True)
+        del every
+        total = np.bincount(inverse, weights=counts).astype(np.int64)
+        out, at = [], 0
+        for block, begin, n in asked:
+            if block >= 0:
+                out.append((block, begin, planes(total[inverse[at : at + n]]), None))
+            at += n
+            if len(out) == 64:
+                yield answers(out)
+                out = []
+        if out:
+            yield answers(out)
+
+
+def _finish(batches: Iterator[pa.RecordBatch], order: int, n_buckets: int, total: int, alpha: float, leave_out: bool) -> Iterator[pa.RecordBatch]:
+    for head, found in answered(batches):
+        ids, nulls, counts, distinct, codes = unpack(head)
+        counts = from_planes(counts)
+        words = np.frombuffer(distinct, U64)[from_planes(codes)]
+        _, _, places, _ = _grams(words, counts, order, n_buckets)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        n = np.full(len(words), total) - (counts[owner] if leave_out else 0)
+        score = below = None
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for k, place in enumerate(places):
+                at = np.flatnonzero(place >= 0)
+                c = np.zeros(len(words), np.int64)
+                c[at] = found[place[at]]
+                if leave_out and len(at):
+                    _, inverse, own = np.unique(owner[at] << 32 | place[at], return_inverse=True, return_counts=True)
+                    c[at] -= own[inverse]
+                if k == 0:
+                    score = np.where(c > 0, np.log(c) - np.log(n), -np.log(n + 1))
+                else:
+                    context = np.append(0, below[:-1])
+                    score = np.where(place < 0, score, np.where(c > 0, np.log(c) - np.log(context), np.log(alpha) + score))
+                below = c
+        sums = np.bincount(owner, weights=score, minlength=len(counts))
+        yield pa.record_batch([pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(nulls, bool)), pa.array(counts), pa.array(sums)], names=["doc_id", "n_words", "score"])
+
+
+def _base(of: DataFrame, doc_id: str | None, text: str) -> DataFrame:
+    own, at, _ = plain(of)
+    ids = F.col(at(doc_id)).cast("long") if doc_id else F.lit(0).cast("long")
+    return own.select(ids.alias("doc_id"), F.col(at(text)).alias("text"))
+
+
+def ngram_counts(corpus: DataFrame, order: int = ORDER, text: str = "text", buckets: int | None = None) -> DataFrame:
+    """The count tables as a frame: bucket, gram (its hash) and n, partitioned by bucket."""
+    n = buckets or bucket_count(corpus)
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b, *unpack(x)) for batch in batches for b, x in zip(batch.column("bucket").to_pylist(), batch.column("items").to_pylist())]
+        if held:
+            every = np.concatenate([np.frombuffer(g, U64) for _, g, _ in held])
+            distinct, inverse = np.unique(every, return_inverse=True)
+            total = np.bincount(inverse, weights=np.concatenate([from_planes(c) for *_, c in held])).astype(np.int64)
+            yield pa.record_batch([pa.array(np.full(len(distinct), held[0][0], np.int32)), pa.array(distinct.view(np.int64)), pa.array(total)], names=["bucket", "gram", "n"])
+
+    asked = _base(corpus, None, text).transform(mapped, lambda it: _send(it, order, n, True, False), ASKED)
+    return by_bucket(asked, n).transform(mapped, tables, "bucket int, gram long, n long")
+
+
+def backoff_scores(docs: DataFrame, corpus: DataFrame | None = None, alpha: float = ALPHA, order: int = ORDER, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
+    """doc_id, n_words and score of each row of docs by the counts of corpus (all other rows of docs, if none is given)."""
+    base = _base(steady(docs), doc_id, text)
+    source = base if corpus is None else _base(corpus, None, text)
+    n, alone = buckets or bucket_count(base if corpus is None else base.union(source)), corpus is None
+    total = source.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")).first()[0] or 0
+    asked = base.transform(mapped, lambda it: _send(it, order, n, alone, True), ASKED)
+    if not alone:
+        others = source.transform(mapped, lambda it: _send(it, order, n, True, False), ASKED)
+        asked = asked.union(others.withColumn("block", F.lit(-1).cast("long")))
+    return ask(asked, n, _answer, lambda it: _finish(it, order, n, total, alpha, alone), "doc_id long, n_words long, score double")

@@ -2,28 +2,23 @@
 
 A document is the multiset of its runs of five words. Signatures: the weight axis of a run is cut at
 0, 1, 2, 4, 8, ...; each interval holds a Poisson process in time whose rate is the interval's width,
-seeded by run and interval only, and a point of it is placed within its interval by halving down to
-whole weights. A document sees the points below its own weight; every point belongs to one of the
+seeded by run and interval only, and a point of it is placed evenly within its interval, at a whole
+weight. A document sees the points below its own weight; every point belongs to one of the
 signature's components, which keeps the time of its first. Two documents agree in a component with the
 probability of their weighted Jaccard similarity. Points are made in order of time until each component
 of a document is filled, so most runs of a long document give one point or none.
 
-Signatures are banded; documents that share a band are compared by sketches of their whole signatures, and
-those that may be similar by exact multiset overlap. The first FIRST bands come first: buckets of up to SMALL
-documents are compared pair by pair, the members of larger ones meet a few pivots (those that share the
-most). Of all bands, only buckets that then hold more than one linked class are looked at again, and only
-members of different classes are compared: pair by pair in small buckets, by one inverted index of their
-runs in those of up to MIDDLE members. A larger bucket is cut finer, to members that share two bands, and
-what stays larger than MIDDLE meets eight times as many new pivots in each round, until one class is left or all
-have been pivots. So copies by the thousand cost a few comparisons each. The larger buckets that hold several classes
-even then are dealt by blocks of MIDDLE members, and the members outside the bucket's main class meet every block.
-
-Equal texts share a signature and are compared once. The classes are the connected components of the
+Signatures are banded; documents that share a band are candidates. In the first FIRST bands each bucket's
+members meet a few pivots (those that share the most), which links copies by the thousand at a few comparisons
+each. Of all bands, the buckets that then hold more than one linked class are settled exactly, by one rule at every
+size: a bucket is dealt by blocks of so many bytes, and each member outside the bucket's largest class meets
+every block, by sketches of the whole signatures first and, where those agree, by exact multiset overlap. Classes are the connected components of these
 links; class_id is the smallest doc_id of a class.
 
 Defined cases: a text of one to four words is one run; texts without words (null, empty, blank) are a
 class of their own each; rows that repeat belong to one class; a null doc_id is kept and never names a
-class unless all of it are null; an empty table gives an empty result; other columns stay.
+class unless all of it are null; a text longer than a block is signed alone and whole; other columns, whatever their
+names, take no part in `near_duplicates` and stay in `keep_first`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, _BASE, blocks, column, few_files, mapped, materialise, mix, position_in_group, powers, ranges, shingles, word_hashes
+from tessera.llm.common import Scratch, U64, _BASE, blocks, column, few_files, mapped, materialise, mix, plain, position_in_group, powers, shingles, word_hashes
 
 #: With 26 bands of 5, two documents of similarity 0.8 share no band with a chance of 3.3e-5.
 BANDS, ROWS = 26, 5
 #: Bands that are looked at first.
 FIRST = 8
-#: Most documents of a bucket that are compared pair by pair, and by one index or in one block; pivots of a larger one.
-SMALL, MIDDLE, PIVOTS = 32, 2048, 2
+#: Pivots of a bucket; most runs of the texts of a block.
+PIVOTS, BLOCK_RUNS = 2, 1 << 19
+#: Parts of a node's edges, and of a class, where they meet its label.
+SALTS = 8
 #: Sketches of less agreement aren't compared; for a similarity of 0.8 a chance of 1e-8.
 AGREE = 0.6
 
@@ -121,8 +118,8 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, bands), pa.int32()), pa.array(keys))
         empty = pa.array(counts == 0)
         yield pa.record_batch(
-            [column(block, "doc_id"), column(block, "text_hash"), pa.array(node, mask=counts == 0), lists, sketch.cast(pa.binary()), empty],
-            names=["doc_id", "text_hash", "node", "bands", "sketch", "empty"],
+            [column(block, "doc_id"), column(block, "text_hash"), pa.array(node, mask=counts == 0), pa.array(n_runs, pa.int32()), lists, sketch.cast(pa.binary()), empty],
+            names=["doc_id", "text_hash", "node", "runs", "bands", "sketch", "empty"],
         )
 
 
@@ -164,50 +161,25 @@ def _bags(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.record_batch([batch.column(0), pa.array(data, pa.binary())], names=["node", "bag"])
 
 
-def _settle(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links between the classes of each bucket. Rows come sorted by bucket."""
-    key, held = None, []
-
-    def links() -> pa.RecordBatch:
-        nodes, labels = (np.array([r[k] for r in held]) for k in ("node", "label"))
-        bags = [np.frombuffer(r["bag"], U64) for r in held]
-        sizes = np.array(list(map(len, bags)))
-        elements = np.concatenate(bags)
-        order = np.argsort(elements, kind="stable")
-        owner = np.repeat(np.arange(len(bags)), sizes)[order]
-        starts = np.flatnonzero(np.append(True, np.diff(elements[order]) != 0))
-        distinct, counts = elements[order][starts], np.diff(np.append(starts, len(order)))
-        kinds, kind, n = np.unique(labels, return_inverse=True, return_counts=True)
-        out: list[tuple] = []
-        for q in np.flatnonzero(kind != n.argmax()):  # each pair of classes has one of them
-            at = np.searchsorted(distinct, bags[q])
-            shared = np.bincount(owner[ranges(starts[at], counts[at])], minlength=len(bags))
-            jaccard = shared / (sizes[q] + sizes - shared)
-            hits = np.flatnonzero((jaccard >= similarity) & (kind != kind[q]))
-            for h in hits[np.unique(kind[hits], return_index=True)[1]]:
-                out.append((min(nodes[q], nodes[h]), max(nodes[q], nodes[h]), jaccard[h]))
-        return pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
-
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and row["key"] != key:
-                yield links()
-                held = []
-            key = row["key"]
-            held.append(row)
-    if held:
-        yield links()
-
-
 def _cross(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links of the asking rows to the other classes of each block. Rows come sorted by bucket and block, the block's members first."""
+    """Links of the asking rows to the other classes of each block, but for those that join what links of the block have joined.
+
+    Rows come sorted by bucket and block, the block's members first.
+    """
     least = AGREE * similarity / 0.8
     key, held, out = None, [], []
-    nodes = labels = sketches = np.empty(0)
+    nodes = roots = sketches = np.empty(0)
+    joined: dict[int, int] = {}
+
+    def root(label: int) -> int:
+        while label in joined:
+            label = joined[label]
+        return label
+
     for batch in batches:
         for row in batch.to_pylist():
             if (row["key"], row["block"]) != key:
-                key, held = (row["key"], row["block"]), []
+                key, held, joined = (row["key"], row["block"]), [], {}
             if not row["asks"]:
                 held.append(row)
                 nodes = np.empty(0)
@@ -215,10 +187,11 @@ def _cross(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
             if not held:
                 continue
             if not len(nodes):
-                nodes, labels = (np.array([r[k] for r in held]) for k in ("node", "label"))
+                nodes, roots = (np.array([r[k] for r in held]) for k in ("node", "label"))
                 sketches = np.frombuffer(b"".join(r["sketch"] for r in held), np.uint8).reshape(len(held), -1)
-            agree = (sketches == np.frombuffer(row["sketch"], np.uint8)).mean(1)
-            some = np.flatnonzero((agree >= least) & (labels != row["label"]))
+            mine = root(row["label"])
+            some = np.flatnonzero(roots != mine)
+            some = some[(sketches[some] == np.frombuffer(row["sketch"], np.uint8)).mean(1) >= least]
             if not len(some):
                 continue
             own = np.sort(np.frombuffer(row["bag"], U64))
@@ -228,10 +201,13 @@ def _cross(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
             same = own[np.minimum(np.searchsorted(own, elements), len(own) - 1)] == elements
             shared = np.bincount(np.repeat(np.arange(len(some)), sizes), weights=same, minlength=len(some))
             jaccard = shared / (len(own) + sizes - shared)
-            hits = np.flatnonzero(jaccard >= similarity)
-            for h in hits[np.unique(labels[some[hits]], return_index=True)[1]]:
-                other = int(nodes[some[h]])
-                out.append((min(row["node"], other), max(row["node"], other), jaccard[h]))
+            for h in np.flatnonzero(jaccard >= similarity).tolist():
+                other = int(roots[some[h]])
+                if other != mine:
+                    node = int(nodes[some[h]])
+                    out.append((min(row["node"], node), max(row["node"], node), jaccard[h]))
+                    joined[other] = mine
+                    roots[roots == other] = mine
         if out:
             yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
             out = []
@@ -241,96 +217,60 @@ def components(links: DataFrame, files: int | None = None) -> DataFrame:
     """node, label for every node of links (a, b): the smallest node of its connected component."""
     edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), files)
+    # a node with thousands of edges, or a class of thousands, is dealt in parts
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int").alias("salt")
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
+    edges = edges.select("a", "b", salt("a"))
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        new = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        new = materialise(new.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("jump", "label")).alias("label")), files)
+        near = edges.join(labels.select(F.col("node").alias("b"), "label", salts), ["b", "salt"]).groupBy("a").agg(F.min("label").alias("near"))
+        new = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"), salt("node"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"), salts)
+        new = materialise(new.join(jump, ["label", "salt"], "left").select("node", "was", F.least("label", F.coalesce("jump", "label")).alias("label")), files)
         labels = new.select("node", "label")
         if new.filter("was <> label").isEmpty():
             return labels
 
 
-def _pairs(left: DataFrame, right: DataFrame, condition) -> DataFrame:
-    got = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & condition)
-    return got.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
-
-
-def _pivots(of: DataFrame, n: int) -> DataFrame:
-    best = of.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(n))).agg(F.max(F.struct("pull", "node")).alias("best"))
-    return best.select("key", F.col("best.node").alias("node"))
-
-
-def _mixed(keys: DataFrame, labels: DataFrame, files: int) -> DataFrame:
-    """The rows of keys (key, node), with label and n, whose buckets hold more than one class."""
-    named = keys.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    split = named.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key", "n")
-    return materialise(named.join(split, "key"), files)
+def _pivots(of: DataFrame) -> DataFrame:
+    best = of.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(PIVOTS))).agg(F.max(F.struct("pull", "node")).alias("best"))
+    return best.select("key", F.col("best.node").alias("pivot"))
 
 
 def _with_pull(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("node").agg(F.sum("n").alias("pull")), "node")
 
 
-def _finer(members: DataFrame, files: int) -> DataFrame:
-    """The members by pairs of their buckets."""
-    a, b = (members.select("node", F.col("key").alias(k)) for k in ("k1", "k2"))
-    return materialise(a.join(b, "node").filter("k1 < k2").select(F.xxhash64("k1", "k2").alias("key"), "node"), files)
+def _mixed(keys: DataFrame, labels: DataFrame, files: int) -> DataFrame:
+    """The rows of keys (key, node, runs), with their label, the bucket's largest class and its blocks, whose buckets hold more than one class."""
+    named = keys.join(labels, "node", "left").select("key", "node", "runs", F.coalesce("label", "node").alias("label"))
+    parts = named.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("runs").alias("runs"))
+    split = parts.groupBy("key").agg(F.count("*").alias("classes"), F.max_by("label", F.struct("n", "label")).alias("main"), F.ceil(F.sum("runs") / BLOCK_RUNS).cast("int").alias("n_blocks"))
+    return materialise(named.join(split.filter("classes > 1"), "key").select("key", "node", "label", "main", "n_blocks"), files)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id and is_first (the row stands for its class) of each row; class_key, a class's own key; text_hash."""
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
+    own, at, _ = plain(docs)
+    base = own.select(F.col(at(doc_id)).cast("long").alias("doc_id"), F.col(at(text)).alias("text"), F.xxhash64(at(text)).alias("text_hash"))
     files = few_files(docs)
-    signed = materialise(base.transform(mapped, lambda it: _sign(it, width, bands, rows), "doc_id long, text_hash long, node long, bands array<long>, sketch binary, empty boolean"))
-    nodes = signed.filter("not empty").groupBy("node").agg(F.min(F.struct("text_hash", "bands", "sketch")).alias("own")).select("node", "own.*")
-    first = nodes.select("node", F.explode(F.slice("bands", 1, FIRST)).alias("key"))
-    shared = materialise(first.join(first.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), files)
-    small, large = shared.filter(F.col("n") <= SMALL), _with_pull(shared).filter(F.col("n") > SMALL)
-    pairs = _pairs(small, small, F.col("l.node") < F.col("r.node")).union(_pairs(large, _pivots(large, PIVOTS), F.col("l.node") != F.col("r.node")))
-    tested = _likely(nodes, pairs.distinct(), similarity, files)
-    links = materialise(_overlapping(_texts(base, nodes, tested), tested, width, similarity), files)
-    labels = components(links, files)
-
-    def link(more: DataFrame) -> bool:
-        nonlocal links, labels
-        more = materialise(more, files)
-        if more.isEmpty():
-            return False
-        links = links.union(more)
+    with Scratch(docs.sparkSession) as scratch:
+        signed = materialise(base.transform(mapped, lambda it: _sign(it, width, bands, rows), "doc_id long, text_hash long, node long, runs int, bands array<long>, sketch binary, empty boolean"))
+        nodes = signed.filter("not empty").groupBy("node").agg(F.min(F.struct("text_hash", "runs", "bands", "sketch")).alias("own")).select("node", "own.*")
+        first = nodes.select("node", F.explode(F.slice("bands", 1, FIRST)).alias("key"))
+        shared = _with_pull(materialise(first.join(first.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), files))
+        pairs = shared.join(_pivots(shared), "key").filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        tested = _likely(nodes, pairs.distinct(), similarity, files)
+        links = materialise(_overlapping(_texts(base, nodes, tested), tested, width, similarity), files)
         labels = components(links, files)
-        return True
-
-    apart = (F.col("l.node") < F.col("r.node")) & (F.col("l.label") != F.col("r.label"))
-    mixed = _mixed(nodes.select("node", F.explode("bands").alias("key")), labels, files)
-    few, many = mixed.filter(F.col("n") <= SMALL), mixed.filter((F.col("n") > SMALL) & (F.col("n") <= MIDDLE))
-    likely = _likely(nodes, _pairs(few, few, apart).distinct().join(tested, ["a", "b"], "left_anti"), similarity, files)
-    wanted = likely.select("a", "b").union(many.select(F.col("node").alias("a"), F.col("node").alias("b")))
-    texts = _texts(base, nodes, wanted)
-    link(_overlapping(texts, likely, width, similarity).union(_indexed(texts, many, width, similarity)))
-    huge = mixed.filter(F.col("n") > MIDDLE)
-    if not huge.isEmpty():
-        huge = _with_pull(huge.drop("label"))
-        pairs = _pairs(huge, _pivots(huge, PIVOTS), F.col("l.node") != F.col("r.node"))
-        texts = _texts(base, nodes, huge.select(F.col("node").alias("a"), F.col("node").alias("b")))
-        link(_overlapping(texts, _likely(nodes, pairs.distinct(), similarity, files), width, similarity))
-        finer = _finer(_mixed(huge.select("key", "node"), labels, files), files)
-        mixed = _mixed(finer, labels, files)
-        link(_indexed(texts, mixed.filter(F.col("n") <= MIDDLE), width, similarity))
-        n, used = 8 * PIVOTS, None
-        while True:
-            mixed = _mixed(finer, labels, files).filter(F.col("n") > MIDDLE)
-            fresh = _with_pull(mixed if used is None else mixed.join(used, ["key", "node"], "left_anti"))
-            chosen = materialise(_pivots(fresh, n), files)
-            if chosen.isEmpty():
-                break
-            pairs = _pairs(mixed, mixed.join(chosen, ["key", "node"], "left_semi"), F.col("l.label") != F.col("r.label"))
-            link(_overlapping(texts, _likely(nodes, pairs.distinct(), similarity, files), width, similarity))
-            used, n = chosen if used is None else used.union(chosen), 8 * n
-        rest = _mixed(huge.select("key", "node"), labels, files)
-        if not rest.isEmpty():
-            link(_blockwise(texts, nodes, rest, width, similarity))
+        mixed = _mixed(nodes.select("node", "runs", F.explode("bands").alias("key")), labels, files)
+        if not mixed.isEmpty():
+            more = materialise(_settle(_texts(base, nodes, mixed.select(F.col("node").alias("a"), F.col("node").alias("b"))), nodes, mixed, width, similarity), files)
+            if not more.isEmpty():
+                labels = components(links.union(more), files)
+        return scratch.result(_classes(signed, labels))
+
 
+def _classes(signed: DataFrame, labels: DataFrame) -> DataFrame:
     classes = signed.join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("class_key"))
     own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     first = classes.filter("class_key is not null").groupBy("class_key").agg(F.min(own).alias("first"), F.count("*").alias("n"))
@@ -368,32 +308,24 @@ def _overlapping(texts: DataFrame, pairs: DataFrame, width: int, similarity: flo
     return _with_both(pairs, texts, "text").transform(mapped, lambda it: _compare(it, width, similarity), "a long, b long, similarity double")
 
 
-def _indexed(texts: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links between the classes of the buckets in rows (key, node, label)."""
-    bags = texts.select("node", "text").transform(mapped, lambda it: _bags(it, width), "node long, bag binary")
-    dealt = rows.select("key", "node", "label").join(bags, "node").select("key", "node", "label", "bag").repartition("key").sortWithinPartitions("key")
-    return dealt.transform(mapped, lambda it: _settle(it, similarity), "a long, b long, similarity double")
-
-
-def _blockwise(texts: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links between the classes of the buckets in rows (key, node, label, n), of any size."""
-    main = rows.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    n_blocks = F.ceil(F.col("n") / MIDDLE).cast("int")
-    bags = texts.select("node", "text").transform(mapped, lambda it: _bags(it, width), "node long, bag binary")
-    dealt = rows.join(main, "key").join(nodes.select("node", "sketch"), "node").join(bags, "node")
+def _settle(texts: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links between the classes of the buckets in rows, of any size."""
+    bags = texts.transform(mapped, lambda it: _bags(it, width), "node long, bag binary")
+    dealt = rows.join(nodes.select("node", "sketch"), "node").join(bags, "node")
     whole = ["key", "node", "label", "sketch", "bag"]
-    members = dealt.select(*whole, F.pmod(F.xxhash64("node"), n_blocks).cast("int").alias("block"), F.lit(False).alias("asks"))
-    asking = dealt.filter("label <> main").select(*whole, F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"), F.lit(True).alias("asks"))
+    members = dealt.select(*whole, F.pmod(F.xxhash64("node"), "n_blocks").cast("int").alias("block"), F.lit(False).alias("asks"))
+    asking = dealt.filter("label <> main").select(*whole, F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
     sent = members.union(asking).repartition("key", "block").sortWithinPartitions("key", "block", "asks")
-    return sent.transform(mapped, lambda it: _cross(it, similarity), "a long, b long, similarity double")
+    return sent.transform(mapped, lambda it: _cross(it, similarity), "a long, b long, similarity double").distinct()
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with one row of each class: that of the smallest doc_id. Rows without words all stay."""
     found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
     gone = found.filter("not is_first").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    own = docs.withColumn("__text", F.xxhash64(F.col(text)))
-    left = own.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_anti")
-    blank = F.coalesce(F.length(F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]+", "")), F.lit(0)) == 0
+    own, at, back = plain(docs)
+    columns, own = own.columns, own.withColumn("__text", F.xxhash64(at(text)))
+    left = own.join(gone, F.col(at(doc_id)).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_anti")
+    blank = F.coalesce(F.length(F.regexp_replace(at(text), r"[\x20\x09-\x0D]+", "")), F.lit(0)) == 0
     left = left.withColumn("__row", F.when(blank, F.monotonically_increasing_id()).otherwise(F.lit(-1)))
-    return left.dropDuplicates([doc_id, "__text", "__row"]).select(*docs.columns)
+    return back(left.dropDuplicates([at(doc_id), "__text", "__row"]).select(*columns))

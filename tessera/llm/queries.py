@@ -26,14 +26,17 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-t AS (SELECT doc_id, w[p] AS b, CASE WHEN p > 1 THEN w[p - 1] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
-uni AS (SELECT b, count(*) AS n FROM t GROUP BY b),
-bi AS (SELECT a, b, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY a, b),
-con AS (SELECT a, sum(n) AS n FROM bi GROUP BY a),
-s AS (SELECT doc_id, sum(CASE WHEN t.a IS NULL THEN ln(uni.n / (SELECT count(*) FROM t)) ELSE ln(bi.n) - ln(con.n) END) AS score
-      FROM t LEFT JOIN bi ON t.a = bi.a AND t.b = bi.b LEFT JOIN con ON t.a = con.a LEFT JOIN uni ON t.a IS NULL AND t.b = uni.b GROUP BY doc_id)
-SELECT d.doc_id, len(w) AS n_words, round(coalesce(score, 0), 4) AS score FROM d LEFT JOIN s USING (doc_id)
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT r, p, w[p] AS c, CASE WHEN p > 1 THEN w[p - 1] END AS b, CASE WHEN p > 2 THEN w[p - 2] END AS a, len(w) AS own FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+k AS (SELECT r, p, (SELECT sum(len(w)) FROM d) - own AS n,
+             count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY r, c) AS c1,
+             count(*) OVER (PARTITION BY b, c) - count(*) OVER (PARTITION BY r, b, c) AS c2,
+             count(*) OVER (PARTITION BY a, b, c) - count(*) OVER (PARTITION BY r, a, b, c) AS c3 FROM t),
+b AS (SELECT *, lag(c1) OVER (PARTITION BY r ORDER BY p) AS b1, lag(c2) OVER (PARTITION BY r ORDER BY p) AS b2 FROM k),
+s1 AS (SELECT *, CASE WHEN c1 > 0 THEN ln(c1 / n) ELSE -ln(n + 1) END AS s FROM b),
+s2 AS (SELECT * REPLACE (CASE WHEN p < 2 THEN s WHEN c2 > 0 THEN ln(c2 / b1) ELSE ln(0.4) + s END AS s) FROM s1),
+s3 AS (SELECT r, sum(CASE WHEN p < 3 THEN s WHEN c3 > 0 THEN ln(c3 / b2) ELSE ln(0.4) + s END) AS score FROM s2 GROUP BY r)
+SELECT d.doc_id, len(w) AS n_words, round(coalesce(score, 0), 4) AS score FROM d LEFT JOIN s3 USING (r)
 """
 
 

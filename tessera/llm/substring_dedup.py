@@ -10,9 +10,13 @@ windows matched side by side merge to maximal repeats.
 A block of documents settles its own repeats before the exchange and sends each window once, so a
 passage that a third of all documents share reaches its bucket once a block.
 
+Windows are the same if a 64-bit hash of the whole window and one of its anchor agree (in the exchange: the
+anchor's 64 bits and 32 of the window's).
+
 Defined cases: a null text has no words; a row with a null doc_id neither loses words nor takes them
 from others; rows that repeat a doc_id are one document's copies and take nothing from each other;
-an empty table gives an empty result; other columns are kept as they are.
+a text longer than a block is a block of its own, matched whole; an empty table gives an empty result; other
+columns are kept as they are (one that has an output's name as that name and `_in`).
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, blocks, bucket_count, by_bucket, column, mapped, mix, position_in_group, ranges, window_hashes, word_hashes
+from tessera.llm.common import U64, blocks, bucket_count, by_bucket, column, mapped, mix, plain, position_in_group, ranges, schema_of, window_hashes, word_hashes
 
 #: Words of an anchor. With windows of 13 words, 8 anchors' places in each.
 SEED_WORDS = 6
@@ -64,10 +68,11 @@ def _send_runs(batches: Iterator[pa.RecordBatch], window: int, n_buckets: int) -
             continue
         begins = np.cumsum(counts) - counts
         order = np.argsort(whole, kind="stable")
-        new = np.append(True, np.diff(whole[order]) != 0)
+        new = np.append(True, (np.diff(whole[order]) != 0) | (np.diff(anchor[order]) != 0))
         first = np.empty(len(order), np.int64)
         first[order] = np.repeat(order[new], np.diff(np.append(np.flatnonzero(new), len(order))))
         repeated = ids[owner[first]] < ids[owner]
+        del order, new, first
         # settled here: an earlier document of the block has it
         lo, n = _side_by_side(at, owner, repeated)
         doc = owner[lo]
@@ -79,6 +84,7 @@ def _send_runs(batches: Iterator[pa.RecordBatch], window: int, n_buckets: int) -
         lo, n, bucket = lo[order], n[order], bucket[order]
         doc, cuts = owner[lo], np.append(np.flatnonzero(np.append(True, np.diff(bucket) != 0)), len(lo))
         prints = (whole >> U64(32)).astype(np.uint32)
+        del whole, words
         rows = []
         for a, b in zip(cuts[:-1], cuts[1:]):
             docs, runs = np.unique(doc[a:b], return_counts=True)  # runs of a bucket keep the order of documents
@@ -118,23 +124,32 @@ def _match(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
     got = {k: np.concatenate(held.pop(k)) for k in list(held)}
     lengths = got["lengths"].astype(np.int64)
     doc = np.repeat(np.arange(len(got["doc_ids"])), got["n_runs"])  # of each run
-    key = mix(np.repeat(got.pop("anchors"), lengths) + got.pop("prints").astype(U64) * U64(0x9E3779B97F4A7C15))
-    ids = np.repeat(got["doc_ids"][doc], lengths)
+    anchors, prints = got.pop("anchors"), got.pop("prints")
+    run = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    key = mix(anchors[run] + prints.astype(U64) * U64(0x9E3779B97F4A7C15))
     order = np.argsort(key, kind="stable")
-    new = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+    key = key[order]
+    new = np.append(True, np.diff(key) != 0)
+    for other in (anchors[run[order]], prints[order]):
+        new[1:] |= np.diff(other) != 0
+    del key, prints, other
+    new = np.flatnonzero(new)
+    ids = got["doc_ids"][doc[run]]
     least = np.empty(len(ids), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(ids[order], new), np.diff(np.append(new, len(order))))
-    run = np.repeat(np.arange(len(lengths)), lengths)
+    del order, new
+    repeated = least < ids
+    del least, ids
     at = ranges(got["starts"].astype(np.int64), lengths)
-    lo, n = _side_by_side(at, run, least < ids)
+    lo, n = _side_by_side(at, run, repeated)
     for a in range(0, len(lo), 100_000):
         x, k = lo[a : a + 100_000], n[a : a + 100_000]
         yield pa.record_batch([pa.array(got["doc_ids"][doc[run[x]]]), pa.array(got["text_hashes"][doc[run[x]]]), pa.array(at[x].astype(np.int32)), pa.array((at[x] + k - 1 + window).astype(np.int32))], schema=schema)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], text_column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, begins, ends = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "__begins", "__ends"))
+        texts, begins, ends = (batch.column(batch.schema.get_field_index(c)) for c in (text_column, "__begins", "__ends"))
         n_words, n_removed, kept = [], [], []
         for text, lo, hi in zip(texts, begins, ends):
             words = (text.as_py() or "").encode().split()
@@ -149,14 +164,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 n_removed.append(0)
             kept.append(b" ".join(words).decode())
-        names = [n for n in batch.schema.names if n not in ("text", "__begins", "__ends")]
-        yield pa.record_batch([batch.column(batch.schema.get_field_index(n)) for n in names] + [texts, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[*names, "text", "n_words", "n_removed", "kept_text"])
+        names = [n for n in batch.schema.names if n not in ("__begins", "__ends")]
+        yield pa.record_batch([batch.column(batch.schema.get_field_index(n)) for n in names] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "kept_text"])
 
 
 def repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The words of each document that windows of a smaller doc_id cover: doc_id, text_hash, begins, ends (words, half open)."""
     n = bucket_count(docs)
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash")).filter("doc_id is not null")
+    own, at, _ = plain(docs)
+    base = own.select(F.col(at(doc_id)).cast("long").alias("doc_id"), F.col(at(text)).alias("text"), F.xxhash64(at(text)).alias("text_hash")).filter("doc_id is not null")
     sent = base.transform(mapped, lambda it: _send_runs(it, window, n), _SENT)
     # What a block has settled rides in the same exchange, dealt over all buckets, so that texts are read and hashed once.
     sent = sent.withColumn("bucket", F.when(F.col("bucket") < 0, F.pmod(F.col("doc_id"), F.lit(n)).cast("int")).otherwise(F.col("bucket")))
@@ -179,10 +195,6 @@ def _settled_and_matched(batches: Iterator[pa.RecordBatch], window: int) -> Iter
 def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_words, n_removed and kept_text: its words without those that a smaller doc_id has in the same window."""
     found = repeats(docs, window, doc_id, text).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("begins").alias("__begins"), F.col("ends").alias("__ends"))
-    own = docs.drop("n_words", "n_removed", "kept_text")
-    rest = [f for f in own.schema.fields if f.name != text]
-    joined = own.join(found, (F.col(doc_id).cast("long") == F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__hash")), "left")
-    joined = joined.select(*[F.col(f"`{f.name}`") for f in rest], F.col(text).alias("text"), "__begins", "__ends")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "text string, n_words long, n_removed long, kept_text string"])
-    out = joined.transform(mapped, _cut, schema)
-    return out if text == "text" else out.withColumnRenamed("text", text)
+    own, at, back = plain(docs)
+    joined = own.join(found, (F.col(at(doc_id)).cast("long") == F.col("__id")) & (F.xxhash64(at(text)) == F.col("__hash")), "left").drop("__id", "__hash")
+    return back(joined.transform(mapped, lambda it: _cut(it, at(text)), schema_of(own, "n_words long", "n_removed long", "kept_text string")))

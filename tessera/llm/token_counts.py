@@ -1,13 +1,13 @@
 """Token counts of whole texts, without token ids.
 
-A block of documents is cut to pre-tokens; each distinct pre-token of the block goes once, with its
-frequency in each document, to the bucket of its hash. There the pieces of a pre-token are counted
-once and the count is joined to the frequencies; the sums of a block's documents leave the bucket
-together and meet those of the other buckets. A frequent pre-token travels once a block, however often
-it occurs.
+A block of documents is cut to pre-tokens; each distinct pre-token of the block goes once to the bucket
+of its hash. There the pieces of a pre-token are counted once. The counts go back to the block and are
+joined to its frequencies of pre-tokens by document, which are summed. A frequent pre-token travels once a
+block, however often it occurs, and what travels doesn't depend on the number of buckets.
 
 Defined cases: a null text counts as an empty one (0 bytes, 0 tokens); a null doc_id is kept; repeated
-rows give a row each; an empty table gives an empty result.
+rows give a row each; a text longer than a block is a block of its own, counted whole; other columns, whatever
+their names, take no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,13 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import block_numbers, blocks, bucket_count, by_bucket, column, mapped, sum_blocks
+from tessera.llm.common import ASKED, answered, answers, ask, block_numbers, blocks, bucket_count, column, from_planes, mapped, pack, plain, planes, questions, steady, unpack
 
 # The pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_PARTS = {"offsets": np.int32, "uses": np.int32, "users": np.uint16, "times": np.int32}
-_SENT = "bucket int, block long, doc_ids binary, nulls binary, sizes binary, n_docs int, pieces binary, " + ", ".join(f"{k} binary" for k in _PARTS)
-_SUMS = "block long, doc_ids binary, nulls binary, sizes binary, sums binary"
+#: Text of a block, and of a bucket, whose distinct pre-tokens a task remembers.
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20
 
 
 @functools.cache
@@ -60,58 +59,60 @@ def pre_tokens(text: str, path: str, find=regex.compile(PATTERN).findall) -> lis
 
 
 def _send(batches: Iterator[pa.RecordBatch], path: str, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.binary()), ("nulls", pa.binary()), ("sizes", pa.binary()), ("n_docs", pa.int32())] + [(n, pa.binary()) for n in ("pieces", *_PARTS)])
-    for block, table in zip(block_numbers(), blocks(batches)):
+    for block, table in zip(block_numbers(), blocks(batches, most_bytes=BLOCK_BYTES)):
         texts = [t or "" for t in column(table, "text").to_pylist()]
         found = [pre_tokens(t, path) for t in texts]
         owner = np.repeat(np.arange(len(found)), list(map(len, found)))
         code, distinct = pd.factorize(np.array([x for f in found for x in f] + [None], object)[:-1])
-        pair, times = np.unique(code.astype(np.int64) << 12 | owner, return_counts=True)
+        del found
         home = (pd.util.hash_array(distinct, categorize=False) % np.uint64(n_buckets)).astype(np.int64) if len(distinct) else np.empty(0, np.int64)
-        bucket = home[pair >> 12]
-        order = np.argsort(bucket, kind="stable")
-        pair, times, bucket = pair[order], times[order], bucket[order]
+        order = np.argsort(home, kind="stable")
+        place = np.empty(len(distinct), np.int64)
+        place[order] = np.arange(len(distinct))
+        pieces = [distinct[i].encode() for i in order]
+        pair, times = np.unique(owner << 32 | place[code], return_counts=True)
         ids = column(table, "doc_id")
         sizes = np.array([len(t.encode()) for t in texts], np.int64)
-        rows = [(block % n_buckets, block, ids.fill_null(0).to_numpy().tobytes(), ids.is_null().to_numpy(zero_copy_only=False).tobytes(), sizes.tobytes(), len(texts), None, None, None, None, None)]
-        cuts = np.append(np.flatnonzero(np.append(True, np.diff(bucket) != 0)), len(pair)) if len(pair) else [0]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            piece, uses = np.unique(pair[a:b] >> 12, return_counts=True)  # ascending as the pairs are
-            text = pa.array(distinct[piece], pa.string())
-            data = text.buffers()[2]
-            parts = {"offsets": np.frombuffer(text.buffers()[1], np.int32)[: len(text) + 1], "uses": uses, "users": pair[a:b] & 4095, "times": times[a:b]}
-            rows.append((int(bucket[a]), block, None, None, None, len(texts), data.to_pybytes() if data else b"", *(parts[k].astype(kind).tobytes() for k, kind in _PARTS.items())))
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        head = pack(
+            ids.fill_null(0).to_numpy().tobytes(), ids.is_null().to_numpy(zero_copy_only=False).tobytes(), planes(sizes),
+            planes(np.bincount(pair >> 32, minlength=len(texts))), planes(pair & 0xFFFFFFFF), planes(times),
+        )
+        yield questions(n_buckets, block, home[order], lambda a, b: pack(planes(np.array(list(map(len, pieces[a:b])), np.int64)), b"".join(pieces[a:b])), head)  # noqa: B023
 
 
 def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Pieces of each distinct pre-token of a bucket, counted once, summed for each document of a block."""
+    """The pieces of each distinct pre-token of a bucket, counted once, for each block that asks."""
     encode, known = tokenizer(path).encode_batch_fast, {}
-    schema = pa.schema([("block", pa.int64())] + [(n, pa.binary()) for n in ("doc_ids", "nulls", "sizes", "sums")])
     for batch in batches:
-        for row in batch.to_pylist():
-            sums = None
-            if row["doc_ids"] is None:
-                offsets, uses, users, times = (np.frombuffer(row[k], kind) for k, kind in _PARTS.items())
-                pieces = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(row["offsets"]), pa.py_buffer(row["pieces"])).to_pylist()
-                new = [p for p in pieces if p not in known]
-                if new:
-                    known.update(zip(new, (len(e) for e in encode(new, add_special_tokens=False))))
-                each = np.repeat(np.array([known[p] for p in pieces], np.int64), uses)
-                sums = np.bincount(users, weights=each * times, minlength=row["n_docs"]).astype(np.int64).tobytes()
-            yield pa.record_batch([pa.array([v], f.type) for v, f in zip((row["block"], row["doc_ids"], row["nulls"], row["sizes"], sums), schema)], schema=schema)
-
-
-def _finish(head: dict, sums: np.ndarray) -> pa.RecordBatch:
-    ids = pa.array(np.frombuffer(head["doc_ids"], np.int64), mask=np.frombuffer(head["nulls"], bool))
-    return pa.record_batch([ids, pa.array(np.frombuffer(head["sizes"], np.int64)), pa.array(sums)], names=["doc_id", "n_bytes", "n_tokens"])
-
-
-def token_counts(docs: DataFrame, path: str, limit: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        out = []
+        for _, block, begin, items, head in zip(*(c.to_pylist() for c in batch.columns)):
+            if head is not None:
+                out.append((block, None, None, head))
+                continue
+            sizes, data = unpack(items)
+            ends = np.cumsum(from_planes(sizes)).tolist()
+            pieces = [data[a:b] for a, b in zip([0, *ends], ends)]
+            new = [p for p in pieces if p not in known]
+            if new:
+                known.update(zip(new, (len(e) for e in encode([p.decode() for p in new], add_special_tokens=False))))
+            out.append((block, begin, planes(np.array([known[p] for p in pieces], np.int64)), None))
+        if out:
+            yield answers(out)
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for head, pieces in answered(batches):
+        ids, nulls, sizes, uses, places, times = unpack(head)
+        uses = from_planes(uses)
+        sums = np.bincount(np.repeat(np.arange(len(uses)), uses), weights=pieces[from_planes(places)] * from_planes(times), minlength=len(uses))
+        yield pa.record_batch([pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(nulls, bool)), pa.array(from_planes(sizes)), pa.array(sums.astype(np.int64))], names=["doc_id", "n_bytes", "n_tokens"])
+
+
+def token_counts(docs: DataFrame, path: str, limit: int = 512, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each row, for the byte-level BPE vocabulary in a file of the tokenizers library."""
-    n = bucket_count(docs)
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sent = base.transform(mapped, lambda it: _send(it, path, n), _SENT)
-    parts = by_bucket(sent, n).transform(mapped, lambda it: _count(it, path), _SUMS)
-    each = parts.repartition("block").transform(mapped, lambda it: sum_blocks(it, np.int64, _finish), "doc_id long, n_bytes long, n_tokens long")
+    n = buckets or bucket_count(docs, BUCKET_BYTES)
+    own, at, _ = plain(steady(docs))
+    base = own.select(F.col(at(doc_id)).cast("long").alias("doc_id"), F.col(at(text)).alias("text"))
+    asked = base.transform(mapped, lambda it: _send(it, path, n), ASKED)
+    each = ask(asked, n, lambda it: _count(it, path), _finish, "doc_id long, n_bytes long, n_tokens long")
     return each.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -12,7 +12,8 @@ language with enough of its labels. Every text is scored whole.
 Defined cases: a null or empty text is scored as a text without words; rows without a doc_id or label
 don't train; a doc_id labelled more than once trains by its largest label; without both labels among
 the training rows every score is the share of label 1 (0 if there are no labels); repeated rows, null
-ids and other columns are kept.
+ids and other columns are kept (a column toxicity as toxicity_in); a text longer than a block is scored alone
+and whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import PUNCTUATION, U64, blocks, column, mapped, ranges, word_hashes
+from tessera.llm.common import PUNCTUATION, U64, blocks, column, mapped, plain, ranges, schema_of, word_hashes
 
 #: Most labelled rows that training takes.
 TRAIN_ROWS = 6000
@@ -168,15 +169,17 @@ def _best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def held_out(doc_id: Column) -> Column:
-    """True for documents whose labels must not train."""
-    return F.crc32(doc_id.cast("string")) % 4 == 2
+    """True for documents whose labels must not train; false where there is no doc_id."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic") -> Model:
     """A model from at most `rows` labelled documents that aren't held out."""
-    usable = labels.select(F.col(doc_id).alias("__id"), F.col(label).alias("label")).filter(F.col("__id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("__id")))
+    own, at, _ = plain(docs)
+    marks, of, _ = plain(labels)
+    usable = marks.select(F.col(of(doc_id)).alias("__id"), F.col(of(label)).alias("label")).filter(F.col("__id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("__id")))
     some = usable.groupBy("__id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    found = docs.join(F.broadcast(some), docs[doc_id] == some["__id"]).select(F.col("__id"), F.col(text).alias("text"), F.col(lang).alias("lang"), "label")
+    found = own.join(F.broadcast(some), F.col(at(doc_id)) == F.col("__id")).select("__id", F.col(at(text)).alias("text"), F.col(at(lang)).alias("lang"), "label")
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -185,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: st
             data = [packed[e - n : e].tobytes() for e, n in zip(ends, counts)]
             yield pa.record_batch([column(block, "__id"), column(block, "lang"), column(block, "label").cast(pa.int64()), pa.array(data, pa.binary())], names=["id", "lang", "label", "words"])
 
-    id_type = docs.schema[doc_id].dataType.simpleString()
+    id_type = found.schema["__id"].dataType.simpleString()
     got = found.transform(mapped, buckets, f"id {id_type}, lang string, label long, words binary").toArrow().sort_by("id")
     words = [np.frombuffer(x.as_py(), np.uint32) for x in column(got, "words")]
     y = column(got, "label").to_numpy().astype(np.float32)
@@ -202,16 +205,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: st
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with toxicity, the score of each whole text."""
-    own = docs.drop("toxicity")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields), "toxicity double"])
+    own, at, back = plain(docs)
+    name = at(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text, most_bytes=1 << 20):
-            packed, counts = _buckets(column(block, text))
+        for block in blocks(batches, name, most_bytes=1 << 20):
+            packed, counts = _buckets(column(block, name))
             scores = 1 / (1 + np.exp(-model.logits(packed, counts).astype(np.float64)))
             yield from block.append_column("toxicity", pa.array(scores, pa.float64())).combine_chunks().to_batches()
 
-    return own.transform(mapped, run, schema)
+    return back(own.transform(mapped, run, schema_of(own, "toxicity double")))
 
 
 def threshold(model: Model, lang: Column) -> Column:
