@@ -34,7 +34,7 @@ from tessera.llm.common import blocks, column, mapped, plain, ranges, schema_of
 
 NONE = np.int64(1) << 62
 #: Cells of the trees that grow side by side.
-TREE_CELLS = 1 << 20
+TREE_CELLS = 1 << 18
 _ODD_WHITE = regex.compile("[\x1c-\x1f]")
 _WHITE = regex.compile(r"\s+")
 
@@ -199,7 +199,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, text: str) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, text, most_bytes=4 << 20):
+    for block in blocks(batches, text):
         ids, counts, decoded = vocabulary(path).encode([t or "" for t in column(block, text).to_pylist()])
         ends = np.cumsum(counts)
         data = ids.astype("<u4").tobytes()

@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +32,8 @@ PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 #: Bytes of text hashed at a time (a longer text is hashed alone).
 CHUNK_BYTES = 1 << 19
+#: Bytes of a batch of rows between Spark and Python.
+BATCH_BYTES = 4 << 20
 #: An odd multiplier and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -119,7 +121,13 @@ def _hash_chunk(data: np.ndarray, begins: np.ndarray, separators: np.ndarray) ->
 
 
 def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow, where a Python worker hands back its free memory after each partition, as workers stay for the next stages."""
+    """df.mapInArrow, where a Python worker hands back its free memory after each partition, as workers stay for the next stages.
+
+    Batches are kept to BATCH_BYTES (if the session still has Spark's default of 64 MB), on both sides of the exchange with Python.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, "64m").lower() in ("67108864", "67108864b", "64m", "64mb"):
+        conf.set(key, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -171,7 +179,7 @@ def shingles(texts: pa.Array, width: int = 5, separators: np.ndarray = WHITE) ->
     return out, n
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 8 << 20, most_rows: int = 4096) -> Iterator[pa.Table]:
+def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 2 << 20, most_rows: int = 4096) -> Iterator[pa.Table]:
     """The batches as tables of at most so many rows and bytes of text (a longer text comes alone)."""
     held: list[pa.RecordBatch] = []
     size = rows = 0
@@ -317,9 +325,9 @@ def shared_folder(spark: SparkSession) -> str:
     return got
 
 
-def few_files(df: DataFrame, file_bytes: int = 64 << 20) -> int:
-    """Files for tables that are small beside df: one for each so many bytes of df, eight at least, as many as shuffle partitions at most."""
-    return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(8, input_bytes(df) // file_bytes)))
+def few_files(df: DataFrame, file_bytes: int = 256 << 20) -> int:
+    """Files for tables that are small beside df: one for each so many bytes of df, two at least, as many as shuffle partitions at most."""
+    return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(2, input_bytes(df) // file_bytes)))
 
 
 _scopes = threading.local()
@@ -329,7 +337,7 @@ class Scratch:
     """Removes the tables that are materialised in it when it ends, also by an error; those of `result` stay."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.held = spark, [], []
 
     def __enter__(self) -> Scratch:
         self.outer, _scopes.paths = getattr(_scopes, "paths", None), self.paths
@@ -339,6 +347,13 @@ class Scratch:
         _scopes.paths = self.outer
         for path in self.paths:
             _remove(self.spark, path)
+        for df in self.held:
+            df.unpersist()
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        """df, kept on the executors' disks until the scope ends; parts that are lost are computed again."""
+        self.held.append(df.persist(StorageLevel.DISK_ONLY))
+        return df
 
     def result(self, df: DataFrame, files: int | None = None) -> DataFrame:
         """df written so that it outlives this scope (it belongs to the one around it, if any)."""
