@@ -11,8 +11,9 @@ of a document is filled, so most runs of a long document give one point or none.
 Signatures are banded; documents that share a band are candidates. In the first FIRST bands each bucket's
 members meet a few pivots (those that share the most), which links copies by the thousand at a few comparisons
 each. Of all bands, the buckets that then hold more than one linked class are settled exactly, by one rule at every
-size: a bucket is dealt by blocks of so many bytes, and each member outside the bucket's largest class meets
-every block, by sketches of the whole signatures first and, where those agree, by exact multiset overlap. Classes are the connected components of these
+size: a bucket is dealt by blocks of so many runs, and each member outside the bucket's largest class meets
+every block, by sketches of the whole signatures first; those that agree with another class, in a bucket that is the
+first they share, meet again by exact multiset overlap. Classes are the connected components of these
 links; class_id is the smallest doc_id of a class.
 
 Defined cases: a text of one to four words is one run; texts without words (null, empty, blank) are a
@@ -99,7 +100,7 @@ def bag_minhash(elements: np.ndarray, owner: np.ndarray, weights: np.ndarray, n:
 
 
 def _sign(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, most_bytes=4 << 20):
+    for block in blocks(batches):
         text = column(block, "text")
         words, counts = word_hashes(text)
         begins = np.append(0, np.cumsum(counts))
@@ -161,6 +162,49 @@ def _bags(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.record_batch([batch.column(0), pa.array(data, pa.binary())], names=["node", "bag"])
 
 
+def _agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """The rows of each bucket and block that agree by sketches with a row of another class, and share no earlier band with it.
+
+    Rows come sorted by bucket and block, the block's members first.
+    """
+    schema = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("asks", pa.bool_()), ("node", pa.int64()), ("label", pa.int64())])
+    key, held, out = None, [], []
+    sketches = bands = labels = wanted = None
+
+    def members() -> None:
+        if wanted is not None:
+            out.extend((*key, False, held[i]["node"], held[i]["label"]) for i in np.flatnonzero(wanted).tolist())
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if (row["key"], row["block"]) != key:
+                members()
+                key, held, wanted = (row["key"], row["block"]), [], None
+            if not row["asks"]:
+                held.append(row)
+                continue
+            if not held:
+                continue
+            if wanted is None:
+                sketches = np.frombuffer(b"".join(r["sketch"] for r in held), np.uint8).reshape(len(held), -1)
+                bands = np.array([r["bands"] for r in held])
+                labels = np.array([r["label"] for r in held])
+                wanted = np.zeros(len(held), bool)
+            some = np.flatnonzero(labels != row["label"])
+            some = some[(sketches[some] == np.frombuffer(row["sketch"], np.uint8)).mean(1) >= least]
+            if len(some):
+                some = some[np.array(row["bands"])[(bands[some] == np.array(row["bands"])).argmax(1)] == row["key"]]
+            if len(some):
+                wanted[some] = True
+                out.append((*key, True, row["node"], row["label"]))
+        if out:
+            yield pa.record_batch([pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)], schema=schema)
+            out.clear()
+    members()
+    if out:
+        yield pa.record_batch([pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
 def _cross(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Links of the asking rows to the other classes of each block, but for those that join what links of the block have joined.
 
@@ -254,20 +298,20 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, ba
     base = own.select(F.col(at(doc_id)).cast("long").alias("doc_id"), F.col(at(text)).alias("text"), F.xxhash64(at(text)).alias("text_hash"))
     files = few_files(docs)
     with Scratch(docs.sparkSession) as scratch:
-        signed = materialise(base.transform(mapped, lambda it: _sign(it, width, bands, rows), "doc_id long, text_hash long, node long, runs int, bands array<long>, sketch binary, empty boolean"))
+        signed = scratch.hold(base.transform(mapped, lambda it: _sign(it, width, bands, rows), "doc_id long, text_hash long, node long, runs int, bands array<long>, sketch binary, empty boolean"))
         nodes = signed.filter("not empty").groupBy("node").agg(F.min(F.struct("text_hash", "runs", "bands", "sketch")).alias("own")).select("node", "own.*")
         first = nodes.select("node", F.explode(F.slice("bands", 1, FIRST)).alias("key"))
         shared = _with_pull(materialise(first.join(first.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), files))
         pairs = shared.join(_pivots(shared), "key").filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         tested = _likely(nodes, pairs.distinct(), similarity, files)
-        links = materialise(_overlapping(_texts(base, nodes, tested), tested, width, similarity), files)
+        links = materialise(_overlapping(scratch.hold(_texts(base, nodes, tested)), tested, width, similarity), files)
         labels = components(links, files)
         mixed = _mixed(nodes.select("node", "runs", F.explode("bands").alias("key")), labels, files)
         if not mixed.isEmpty():
-            more = materialise(_settle(_texts(base, nodes, mixed.select(F.col("node").alias("a"), F.col("node").alias("b"))), nodes, mixed, width, similarity), files)
+            more = materialise(_settle(scratch, base, nodes, mixed, width, similarity), files)
             if not more.isEmpty():
                 labels = components(links.union(more), files)
-        return scratch.result(_classes(signed, labels))
+        return scratch.result(_classes(signed, labels), files)
 
 
 def _classes(signed: DataFrame, labels: DataFrame) -> DataFrame:
@@ -300,7 +344,7 @@ def _texts(base: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.select("node", "text_hash").join(wanted, "node", "left_semi")
     once = base.filter("text is not null").groupBy("text_hash").agg(F.first("text").alias("text"))
-    return materialise(once.join(wanted, "text_hash").select("node", "text"))
+    return once.join(wanted, "text_hash").select("node", "text")
 
 
 def _overlapping(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -308,14 +352,18 @@ def _overlapping(texts: DataFrame, pairs: DataFrame, width: int, similarity: flo
     return _with_both(pairs, texts, "text").transform(mapped, lambda it: _compare(it, width, similarity), "a long, b long, similarity double")
 
 
-def _settle(texts: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+def _settle(scratch: Scratch, base: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
     """Links between the classes of the buckets in rows, of any size."""
-    bags = texts.transform(mapped, lambda it: _bags(it, width), "node long, bag binary")
-    dealt = rows.join(nodes.select("node", "sketch"), "node").join(bags, "node")
-    whole = ["key", "node", "label", "sketch", "bag"]
+    dealt = rows.join(nodes.select("node", "sketch", "bands"), "node")
+    whole = ["key", "node", "label", "sketch", "bands"]
     members = dealt.select(*whole, F.pmod(F.xxhash64("node"), "n_blocks").cast("int").alias("block"), F.lit(False).alias("asks"))
     asking = dealt.filter("label <> main").select(*whole, F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
-    sent = members.union(asking).repartition("key", "block").sortWithinPartitions("key", "block", "asks")
+    order = ["key", "block", "asks"]
+    least = AGREE * similarity / 0.8
+    agree = members.union(asking).repartition("key", "block").sortWithinPartitions(*order).transform(mapped, lambda it: _agreeing(it, least), "key long, block int, asks boolean, node long, label long")
+    agree = scratch.hold(agree)
+    bags = _texts(base, nodes, agree.select(F.col("node").alias("a"), F.col("node").alias("b"))).transform(mapped, lambda it: _bags(it, width), "node long, bag binary")
+    sent = agree.join(nodes.select("node", "sketch"), "node").join(bags, "node").repartition("key", "block").sortWithinPartitions(*order)
     return sent.transform(mapped, lambda it: _cross(it, similarity), "a long, b long, similarity double").distinct()
 
 
