@@ -215,12 +215,19 @@ def block_numbers() -> Iterator[int]:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Whole numbers as byte planes: all lowest bytes, then all second ones and so on, so that small numbers compress well."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Whole numbers, compressed by byte planes: all lowest bytes, then all second ones, up to the highest that isn't zero."""
+    width = (int(values.max(initial=0)).bit_length() + 7) // 8
+    rows = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    data = np.ascontiguousarray(rows[:, :width].T).tobytes()
+    return np.array([len(values), width], "<i8").tobytes() + (pa.compress(data, "zstd", asbytes=True) if data else b"")
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    n, width = np.frombuffer(data, "<i8", 2).tolist()
+    out = np.zeros((n, 8), np.uint8)
+    if n and width:
+        out[:, :width] = np.frombuffer(pa.decompress(data[16:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view("<i8").ravel()
 
 
 def pack(*parts: bytes) -> bytes:

@@ -10,6 +10,9 @@ n-grams; each travels once to the bucket of its hash, with its count in the bloc
 joins them to the n-grams that blocks ask for, and the counts go back to the block, where the words are
 scored and summed by document. A word that a third of the corpus consists of travels once a block.
 
+A hash has 20 bits more than the number of the corpus' n-grams (48 at least, 64 at most), so at every size one n-gram
+in a million is taken for another one; a block's hashes travel sorted, as their differences.
+
 Defined cases: a null text has no words and scores 0; an empty corpus (or one that is the document alone) gives each
 word -log(1) = 0, and log(alpha) for each order that it backs off; null ids and repeated rows are kept, and each of
 several equal rows has the others in its corpus; a text longer than a block is a block of its own, scored whole;
@@ -31,33 +34,40 @@ from tessera.llm.common import (
 
 ALPHA, ORDER = 0.4, 3
 #: Text of a block.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 _ORDERS = U64(0xD1B54A32D192ED03)
 
 
-def _grams(words: np.ndarray, counts: np.ndarray, order: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """The distinct n-grams of a block by bucket and hash, their buckets, for each order the place of the n-gram that ends at each word (-1: none), and how often each n-gram stands in the block."""
+def _grams(words: np.ndarray, counts: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """The sorted distinct n-grams of a block, for each order the place of the n-gram that ends at each word (-1: none), and how often each n-gram stands in the block."""
     place = position_in_group(counts)
     ends = [np.flatnonzero(place >= k) for k in range(order)]
-    hashes = [(window_hashes(words, k + 1) + U64(k) * _ORDERS)[at - k] for k, at in enumerate(ends)]
-    distinct, inverse, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    bucket = (distinct % U64(n_buckets)).astype(np.int64)
-    by_bucket = np.argsort(bucket, kind="stable")
-    rank = np.empty(len(distinct), np.int64)
-    rank[by_bucket] = np.arange(len(distinct))
-    code, begin, codes = rank[inverse], 0, []
+    hashes = [(window_hashes(words, k + 1) + U64(k) * _ORDERS)[at - k] >> U64(64 - bits) for k, at in enumerate(ends)]
+    distinct, code, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    begin, codes = 0, []
     for at in ends:
         own = np.full(len(words), -1, np.int64)
         own[at] = code[begin : begin + len(at)]
         begin += len(at)
         codes.append(own)
-    return distinct[by_bucket], bucket[by_bucket], codes, n[by_bucket]
+    return distinct, codes, n
+
+
+def _items(grams: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted n-grams and their counts."""
+    return pack(grams[:1].tobytes(), planes(np.diff(grams)), planes(counts))
+
+
+def _from_items(items: bytes) -> tuple[np.ndarray, np.ndarray]:
+    first, gaps, counts = unpack(items)
+    return np.cumsum(np.append(np.frombuffer(first, U64), from_planes(gaps).view(U64)), dtype=U64), from_planes(counts)
 
 
-def _send(batches: Iterator[pa.RecordBatch], order: int, n_buckets: int, counts_in: bool, is_scored: bool) -> Iterator[pa.RecordBatch]:
+def _send(batches: Iterator[pa.RecordBatch], order: int, bits: int, n_buckets: int, counts_in: bool, is_scored: bool) -> Iterator[pa.RecordBatch]:
     for block, table in zip(block_numbers(), blocks(batches, most_bytes=BLOCK_BYTES)):
         words, counts = word_hashes(column(table, "text"))
-        grams, bucket, codes, n = _grams(words, counts, order, n_buckets)
+        grams, _, n = _grams(words, counts, order, bits)
+        bucket = (grams >> U64(bits - 32)) * U64(n_buckets) >> U64(32)  # by ranges, so that they stay sorted
         head = None
         if is_scored:
             ids = column(table, "doc_id")
@@ -66,12 +76,14 @@ def _send(batches: Iterator[pa.RecordBatch], order: int, n_buckets: int, counts_
             rank = np.empty(len(distinct), np.int64)
             rank[often] = np.arange(len(distinct))
             head = pack(ids.fill_null(0).to_numpy().tobytes(), ids.is_null().to_numpy(zero_copy_only=False).tobytes(), planes(counts), distinct[often].tobytes(), planes(rank[inverse]))
+            del distinct, inverse, rank
         n = n * counts_in
-        yield questions(n_buckets, block, bucket, lambda a, b: pack(grams[a:b].tobytes(), planes(n[a:b])), head)  # noqa: B023
+        del words
+        yield questions(n_buckets, block, bucket, lambda a, b: _items(grams[a:b], n[a:b]), head)  # noqa: B023
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The counts of a bucket's n-grams, for each block that asks."""
+    """The counts of a bucket's n-grams outside the block, for each block that asks."""
     asked, grams, counts = [], [], []
     for batch in batches:
         heads = []
@@ -79,10 +91,10 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if head is not None:
                 heads.append((block, None, None, head))
             else:
-                own, n = unpack(items)
-                grams.append(np.frombuffer(own, U64))
-                counts.append(from_planes(n))
-                asked.append((block, begin, len(grams[-1])))
+                own, n = _from_items(items)
+                grams.append(own)
+                counts.append(n)
+                asked.append((block, begin, len(own)))
         if heads:
             yield answers(heads)
     if asked:
@@ -94,7 +106,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, at = [], 0
         for block, begin, n in asked:
             if block >= 0:
-                out.append((block, begin, planes(total[inverse[at : at + n]]), None))
+                out.append((block, begin, planes(total[inverse[at : at + n]] - counts[at : at + n]), None))
             at += n
             if len(out) == 64:
                 yield answers(out)
@@ -103,12 +115,14 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield answers(out)
 
 
-def _finish(batches: Iterator[pa.RecordBatch], order: int, n_buckets: int, total: int, alpha: float, leave_out: bool) -> Iterator[pa.RecordBatch]:
+def _finish(batches: Iterator[pa.RecordBatch], order: int, bits: int, total: int, alpha: float, leave_out: bool) -> Iterator[pa.RecordBatch]:
     for head, found in answered(batches):
         ids, nulls, counts, distinct, codes = unpack(head)
         counts = from_planes(counts)
         words = np.frombuffer(distinct, U64)[from_planes(codes)]
-        _, _, places, _ = _grams(words, counts, order, n_buckets)
+        _, places, here = _grams(words, counts, order, bits)
+        if leave_out:
+            found = found + here
         owner = np.repeat(np.arange(len(counts)), counts)
         n = np.full(len(words), total) - (counts[owner] if leave_out else 0)
         score = below = None
@@ -136,19 +150,27 @@ def _base(of: DataFrame, doc_id: str | None, text: str) -> DataFrame:
     return own.select(ids.alias("doc_id"), F.col(at(text)).alias("text"))
 
 
+def _size(of: DataFrame) -> int:
+    """Words of all texts."""
+    return of.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")).first()[0] or 0
+
+
+def _bits(total: int, order: int) -> int:
+    return min(64, max(48, 20 + (total * order).bit_length()))
+
+
 def ngram_counts(corpus: DataFrame, order: int = ORDER, text: str = "text", buckets: int | None = None) -> DataFrame:
     """The count tables as a frame: bucket, gram (its hash) and n, partitioned by bucket."""
-    n = buckets or bucket_count(corpus)
+    n, bits = buckets or bucket_count(corpus), _bits(_size(_base(corpus, None, text)), order)
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b, *unpack(x)) for batch in batches for b, x in zip(batch.column("bucket").to_pylist(), batch.column("items").to_pylist())]
+        held = [(b, *_from_items(x)) for batch in batches for b, x in zip(batch.column("bucket").to_pylist(), batch.column("items").to_pylist())]
         if held:
-            every = np.concatenate([np.frombuffer(g, U64) for _, g, _ in held])
-            distinct, inverse = np.unique(every, return_inverse=True)
-            total = np.bincount(inverse, weights=np.concatenate([from_planes(c) for *_, c in held])).astype(np.int64)
+            distinct, inverse = np.unique(np.concatenate([g for _, g, _ in held]), return_inverse=True)
+            total = np.bincount(inverse, weights=np.concatenate([c for *_, c in held])).astype(np.int64)
             yield pa.record_batch([pa.array(np.full(len(distinct), held[0][0], np.int32)), pa.array(distinct.view(np.int64)), pa.array(total)], names=["bucket", "gram", "n"])
 
-    asked = _base(corpus, None, text).transform(mapped, lambda it: _send(it, order, n, True, False), ASKED)
+    asked = _base(corpus, None, text).transform(mapped, lambda it: _send(it, order, bits, n, True, False), ASKED)
     return by_bucket(asked, n).transform(mapped, tables, "bucket int, gram long, n long")
 
 
@@ -157,9 +179,10 @@ def backoff_scores(docs: DataFrame, corpus: DataFrame | None = None, alpha: floa
     base = _base(steady(docs), doc_id, text)
     source = base if corpus is None else _base(corpus, None, text)
     n, alone = buckets or bucket_count(base if corpus is None else base.union(source)), corpus is None
-    total = source.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")).first()[0] or 0
-    asked = base.transform(mapped, lambda it: _send(it, order, n, alone, True), ASKED)
+    total = _size(source)
+    bits = _bits(total, order)
+    asked = base.transform(mapped, lambda it: _send(it, order, bits, n, alone, True), ASKED)
     if not alone:
-        others = source.transform(mapped, lambda it: _send(it, order, n, True, False), ASKED)
+        others = source.transform(mapped, lambda it: _send(it, order, bits, n, True, False), ASKED)
         asked = asked.union(others.withColumn("block", F.lit(-1).cast("long")))
-    return ask(asked, n, _answer, lambda it: _finish(it, order, n, total, alpha, alone), "doc_id long, n_words long, score double")
+    return ask(asked, n, _answer, lambda it: _finish(it, order, bits, total, alpha, alone), "doc_id long, n_words long, score double")

@@ -37,8 +37,8 @@ from tessera.llm.common import Scratch, U64, _BASE, blocks, column, few_files, m
 BANDS, ROWS = 26, 5
 #: Bands that are looked at first.
 FIRST = 8
-#: Pivots of a bucket; most runs of the texts of a block.
-PIVOTS, BLOCK_RUNS = 2, 1 << 19
+#: Pivots of a bucket; most runs of the texts of a block, and most texts.
+PIVOTS, BLOCK_RUNS, BLOCK_TEXTS = 2, 1 << 19, 512
 #: Parts of a node's edges, and of a class, where they meet its label.
 SALTS = 8
 #: Sketches of less agreement aren't compared; for a similarity of 0.8 a chance of 1e-8.
@@ -266,10 +266,10 @@ def components(links: DataFrame, files: int | None = None) -> DataFrame:
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
     edges = edges.select("a", "b", salt("a"))
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "label", salts), ["b", "salt"]).groupBy("a").agg(F.min("label").alias("near"))
+        near = edges.join(labels.select(F.col("node").alias("b"), "label", salts).hint("merge"), ["b", "salt"]).groupBy("a").agg(F.min("label").alias("near"))
         new = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"), salt("node"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"), salts)
-        new = materialise(new.join(jump, ["label", "salt"], "left").select("node", "was", F.least("label", F.coalesce("jump", "label")).alias("label")), files)
+        new = materialise(new.join(jump.hint("merge"), ["label", "salt"], "left").select("node", "was", F.least("label", F.coalesce("jump", "label")).alias("label")), files)
         labels = new.select("node", "label")
         if new.filter("was <> label").isEmpty():
             return labels
@@ -288,7 +288,7 @@ def _mixed(keys: DataFrame, labels: DataFrame, files: int) -> DataFrame:
     """The rows of keys (key, node, runs), with their label, the bucket's largest class and its blocks, whose buckets hold more than one class."""
     named = keys.join(labels, "node", "left").select("key", "node", "runs", F.coalesce("label", "node").alias("label"))
     parts = named.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("runs").alias("runs"))
-    split = parts.groupBy("key").agg(F.count("*").alias("classes"), F.max_by("label", F.struct("n", "label")).alias("main"), F.ceil(F.sum("runs") / BLOCK_RUNS).cast("int").alias("n_blocks"))
+    split = parts.groupBy("key").agg(F.count("*").alias("classes"), F.max_by("label", F.struct("n", "label")).alias("main"), F.greatest(F.ceil(F.sum("runs") / BLOCK_RUNS), F.ceil(F.sum("n") / BLOCK_TEXTS)).cast("int").alias("n_blocks"))
     return materialise(named.join(split.filter("classes > 1"), "key").select("key", "node", "label", "main", "n_blocks"), files)
 
 
@@ -322,7 +322,7 @@ def _classes(signed: DataFrame, labels: DataFrame) -> DataFrame:
     salts = F.explode(F.array(*[F.lit(i) for i in range(8)]))
     several = first.filter("n > 1").select("class_key", "first", salts.alias("salt"))
     salted = classes.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(8)).cast("int"))
-    out = salted.join(several, ["class_key", "salt"], "left")
+    out = salted.join(several.hint("merge"), ["class_key", "salt"], "left")
     best = F.coalesce("first", own)
     return out.select("doc_id", best["doc_id"].alias("class_id"), (best["doc_id"].eqNullSafe(F.col("doc_id")) & best["text_hash"].eqNullSafe(F.col("text_hash"))).alias("is_first"), "class_key", "text_hash")
 

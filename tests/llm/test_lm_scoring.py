@@ -78,7 +78,7 @@ def test_what_travels_grows_with_the_items_not_with_the_buckets():
     texts = [" ".join(f"w{hash((i, j)) % 4000}" for j in range(120)) for i in range(3000)]
     batch = pa.record_batch([pa.array(range(3000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
     path = __import__("public_tokenizers").path("byte_bpe_50k.json")
-    for send, answer in ((lambda n: lm_scoring._send(iter([batch]), 3, n, True, True), lm_scoring._answer), (lambda n: token_counts._send(iter([batch]), path, n), lambda it: token_counts._count(it, path))):
+    for send, answer in ((lambda n: lm_scoring._send(iter([batch]), 3, 48, n, True, True), lm_scoring._answer), (lambda n: token_counts._send(iter([batch]), path, n), lambda it: token_counts._count(it, path))):
         sizes = []
         for n in (8, 64, 512, 4096):
             asked = list(send(n))
