@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import itertools
 import re
 import tempfile
 import threading
@@ -19,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel, TaskContext
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -207,11 +206,15 @@ def column(table: pa.Table, name: str) -> pa.Array:
     return got if isinstance(got, pa.Array) else pa.concat_arrays(got.chunks) if got.num_chunks else pa.array([], got.type)
 
 
-def block_numbers() -> Iterator[int]:
-    """Numbers for the blocks of this task, the same ones if the task runs again."""
-    task = TaskContext.get()
-    first = (task.partitionId() if task else 0) << 32
-    return itertools.count(first)
+def part() -> Column:
+    """A column that `numbered` needs: the partition of a row within its own frame, also where frames are united."""
+    return F.spark_partition_id().alias("part")
+
+
+def numbered(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[tuple[int, pa.Table]]:
+    """Blocks with their numbers, the same ones if the task runs again."""
+    for i, table in enumerate(blocks(batches, most_bytes=most_bytes)):
+        yield table.column("part")[0].as_py() << 32 | i, table
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -285,12 +288,13 @@ def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, np.ndar
         yield whole()
 
 
-def ask(asked: DataFrame, n_buckets: int, answer: Callable, finish: Callable, schema: str) -> DataFrame:
-    """Deal what blocks ask to the buckets, and the answers back to the blocks.
+def ask(asked: DataFrame, n_buckets: int, answer: Callable, finish: Callable, schema: str, heads: DataFrame | None = None) -> DataFrame:
+    """Deal what blocks ask to the buckets, and the answers back to the blocks (and the blocks' heads, if they don't ride with the questions).
 
     An item of a block costs its own bytes and those of its value, however many buckets there are.
     """
     found = by_bucket(asked, n_buckets).transform(mapped, answer, ANSWERED)
+    found = found if heads is None else found.union(heads)
     return found.repartition("block").sortWithinPartitions("block").transform(mapped, finish, schema)
 
 

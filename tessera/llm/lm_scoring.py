@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import (
-    ASKED, U64, answered, answers, ask, block_numbers, blocks, bucket_count, by_bucket, column, from_planes, mapped, pack, plain, planes, position_in_group, questions, steady, unpack, window_hashes, word_hashes,
+    ANSWERED, ASKED, U64, answered, answers, ask, bucket_count, by_bucket, column, from_planes, mapped, numbered, pack, part, plain, planes, position_in_group, questions, steady, unpack, window_hashes, word_hashes,
 )
 
 ALPHA, ORDER = 0.4, 3
@@ -63,40 +63,38 @@ def _from_items(items: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.append(np.frombuffer(first, U64), from_planes(gaps).view(U64)), dtype=U64), from_planes(counts)
 
 
-def _send(batches: Iterator[pa.RecordBatch], order: int, bits: int, n_buckets: int, counts_in: bool, is_scored: bool) -> Iterator[pa.RecordBatch]:
-    for block, table in zip(block_numbers(), blocks(batches, most_bytes=BLOCK_BYTES)):
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks' ids and words."""
+    for block, table in numbered(batches, BLOCK_BYTES):
+        words, counts = word_hashes(column(table, "text"))
+        ids = column(table, "doc_id")
+        distinct, inverse, uses = np.unique(words, return_inverse=True, return_counts=True)
+        often = np.argsort(-uses, kind="stable")  # frequent words have small numbers
+        rank = np.empty(len(distinct), np.int64)
+        rank[often] = np.arange(len(distinct))
+        head = pack(ids.fill_null(0).to_numpy().tobytes(), ids.is_null().to_numpy(zero_copy_only=False).tobytes(), planes(counts), distinct[often].tobytes(), planes(rank[inverse]))
+        yield answers([(block, None, None, head)])
+
+
+def _send(batches: Iterator[pa.RecordBatch], order: int, bits: int, n_buckets: int, counts_in: bool) -> Iterator[pa.RecordBatch]:
+    for block, table in numbered(batches, BLOCK_BYTES):
         words, counts = word_hashes(column(table, "text"))
         grams, _, n = _grams(words, counts, order, bits)
         bucket = (grams >> U64(bits - 32)) * U64(n_buckets) >> U64(32)  # by ranges, so that they stay sorted
-        head = None
-        if is_scored:
-            ids = column(table, "doc_id")
-            distinct, inverse, uses = np.unique(words, return_inverse=True, return_counts=True)
-            often = np.argsort(-uses, kind="stable")  # frequent words have small numbers
-            rank = np.empty(len(distinct), np.int64)
-            rank[often] = np.arange(len(distinct))
-            head = pack(ids.fill_null(0).to_numpy().tobytes(), ids.is_null().to_numpy(zero_copy_only=False).tobytes(), planes(counts), distinct[often].tobytes(), planes(rank[inverse]))
-            del distinct, inverse, rank
         n = n * counts_in
         del words
-        yield questions(n_buckets, block, bucket, lambda a, b: _items(grams[a:b], n[a:b]), head)  # noqa: B023
+        yield questions(n_buckets, block, bucket, lambda a, b: _items(grams[a:b], n[a:b]), None)  # noqa: B023
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The counts of a bucket's n-grams outside the block, for each block that asks."""
     asked, grams, counts = [], [], []
     for batch in batches:
-        heads = []
-        for _, block, begin, items, head in zip(*(c.to_pylist() for c in batch.columns)):
-            if head is not None:
-                heads.append((block, None, None, head))
-            else:
-                own, n = _from_items(items)
-                grams.append(own)
-                counts.append(n)
-                asked.append((block, begin, len(own)))
-        if heads:
-            yield answers(heads)
+        for _, block, begin, items, _ in zip(*(c.to_pylist() for c in batch.columns)):
+            own, n = _from_items(items)
+            grams.append(own)
+            counts.append(n)
+            asked.append((block, begin, len(own)))
     if asked:
         every, counts = np.concatenate(grams), np.concatenate(counts)
         del grams
@@ -147,7 +145,7 @@ def _finish(batches: Iterator[pa.RecordBatch], order: int, bits: int, total: int
 def _base(of: DataFrame, doc_id: str | None, text: str) -> DataFrame:
     own, at, _ = plain(of)
     ids = F.col(at(doc_id)).cast("long") if doc_id else F.lit(0).cast("long")
-    return own.select(ids.alias("doc_id"), F.col(at(text)).alias("text"))
+    return own.select(ids.alias("doc_id"), F.col(at(text)).alias("text"), part())
 
 
 def _size(of: DataFrame) -> int:
@@ -170,7 +168,7 @@ def ngram_counts(corpus: DataFrame, order: int = ORDER, text: str = "text", buck
             total = np.bincount(inverse, weights=np.concatenate([c for *_, c in held])).astype(np.int64)
             yield pa.record_batch([pa.array(np.full(len(distinct), held[0][0], np.int32)), pa.array(distinct.view(np.int64)), pa.array(total)], names=["bucket", "gram", "n"])
 
-    asked = _base(corpus, None, text).transform(mapped, lambda it: _send(it, order, bits, n, True, False), ASKED)
+    asked = _base(corpus, None, text).transform(mapped, lambda it: _send(it, order, bits, n, True), ASKED)
     return by_bucket(asked, n).transform(mapped, tables, "bucket int, gram long, n long")
 
 
@@ -181,8 +179,8 @@ def backoff_scores(docs: DataFrame, corpus: DataFrame | None = None, alpha: floa
     n, alone = buckets or bucket_count(base if corpus is None else base.union(source)), corpus is None
     total = _size(source)
     bits = _bits(total, order)
-    asked = base.transform(mapped, lambda it: _send(it, order, bits, n, alone, True), ASKED)
+    asked = base.transform(mapped, lambda it: _send(it, order, bits, n, alone), ASKED)
     if not alone:
-        others = source.transform(mapped, lambda it: _send(it, order, bits, n, True, False), ASKED)
+        others = source.transform(mapped, lambda it: _send(it, order, bits, n, True), ASKED)
         asked = asked.union(others.withColumn("block", F.lit(-1).cast("long")))
-    return ask(asked, n, _answer, lambda it: _finish(it, order, bits, total, alpha, alone), "doc_id long, n_words long, score double")
+    return ask(asked, n, _answer, lambda it: _finish(it, order, bits, total, alpha, alone), "doc_id long, n_words long, score double", base.transform(mapped, _heads, ANSWERED))

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ASKED, answered, answers, ask, block_numbers, blocks, bucket_count, column, from_planes, mapped, pack, plain, planes, questions, steady, unpack
+from tessera.llm.common import ASKED, answered, answers, ask, bucket_count, column, from_planes, mapped, numbered, pack, part, plain, planes, questions, steady, unpack
 
 # The pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -59,7 +59,7 @@ def pre_tokens(text: str, path: str, find=regex.compile(PATTERN).findall) -> lis
 
 
 def _send(batches: Iterator[pa.RecordBatch], path: str, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    for block, table in zip(block_numbers(), blocks(batches, most_bytes=BLOCK_BYTES)):
+    for block, table in numbered(batches, BLOCK_BYTES):
         texts = [t or "" for t in column(table, "text").to_pylist()]
         found = [pre_tokens(t, path) for t in texts]
         owner = np.repeat(np.arange(len(found)), list(map(len, found)))
@@ -112,7 +112,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, doc_id: str = "do
     """doc_id, n_bytes, n_tokens and over_limit of each row, for the byte-level BPE vocabulary in a file of the tokenizers library."""
     n = buckets or bucket_count(docs, BUCKET_BYTES)
     own, at, _ = plain(steady(docs))
-    base = own.select(F.col(at(doc_id)).cast("long").alias("doc_id"), F.col(at(text)).alias("text"))
+    base = own.select(F.col(at(doc_id)).cast("long").alias("doc_id"), F.col(at(text)).alias("text"), part())
     asked = base.transform(mapped, lambda it: _send(it, path, n), ASKED)
     each = ask(asked, n, lambda it: _count(it, path), _finish, "doc_id long, n_bytes long, n_tokens long")
     return each.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
