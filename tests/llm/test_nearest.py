@@ -69,3 +69,39 @@ def test_repeated_rows_of_equal_vectors_are_one_candidate(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nearest(df, F.lit(True)).collect() == []
+
+
+@pytest.mark.parametrize("functions", [1, 2, 3])
+def test_recall_by_functions(spark, vectors, functions):
+    ids, x = vectors
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    report = {}
+    got = nearest(df, F.col("vec_id") % 20 == 0, functions=functions, report=report).collect()
+    want = brute(ids, x, ids[::20], 20)
+    found = {i: {r.vec_id for r in got if r.query_id == i} for i in want}
+    assert np.mean([len(found[i] & set(want[i])) / 20 for i in want]) >= 0.9
+    assert report["recall"] >= 0.95 and 0 < report["products"]
+
+
+def test_less_work_as_vectors_grow(spark):
+    rng = np.random.default_rng(2)
+    shares, recalls = [], []
+    for n in (5_000, 40_000):
+        x = rng.standard_normal((n, 64)).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        df = spark.createDataFrame(__import__("pandas").DataFrame({"vec_id": range(n), "embedding": list(x)}), "vec_id long, embedding array<float>").repartition(8)
+        report = {}
+        got = nearest(df, F.col("vec_id") % 200 == 0, report=report).toPandas()
+        y = x.astype(np.float64)
+        s = y[::200] @ y.T
+        s[np.arange(len(s)), np.arange(0, n, 200)] = -9
+        true = np.argsort(-s, axis=1)[:, :20]
+        own = got.groupby("query_id").vec_id.apply(set)
+        recalls.append(np.mean([len(own[i * 200] & set(t.tolist())) / 20 for i, t in enumerate(true)]))
+        shares.append(report["products"])
+    assert min(recalls) >= 0.9 and shares[1] < 0.75 * shares[0], (recalls, shares)
+
+
+def test_other_columns_take_no_part(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i)], 1, 2, 3) for i in range(30)], "vec_id long, embedding array<double>, id int, x int, `a.b` int")
+    assert nearest(df, F.col("vec_id") % 20 == 0, k=3).count() == 6
