@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, U64, _BASE, blocks, column, few_files, mapped, materialise, mix, plain, position_in_group, powers, shingles, word_hashes
@@ -284,12 +284,15 @@ def _with_pull(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("node").agg(F.sum("n").alias("pull")), "node")
 
 
-def _mixed(keys: DataFrame, labels: DataFrame, files: int) -> DataFrame:
-    """The rows of keys (key, node, runs), with their label, the bucket's largest class and its blocks, whose buckets hold more than one class."""
-    named = keys.join(labels, "node", "left").select("key", "node", "runs", F.coalesce("label", "node").alias("label"))
+def _mixed(nodes: DataFrame, labels: DataFrame, files: int) -> DataFrame:
+    """The rows of buckets that hold more than one class, with their label, the bucket's largest class and its blocks."""
+    named = nodes.select("node", "runs", "bands").join(labels, "node", "left").select("node", "runs", F.coalesce("label", "node").alias("label"), F.explode("bands").alias("key"))
+    bucket = Window.partitionBy("key")
+    named = named.select("*", F.min("label").over(bucket).alias("lo"), F.max("label").over(bucket).alias("hi")).filter("lo <> hi")
+    named = materialise(named.select("key", "node", "label", "runs"), files)
     parts = named.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("runs").alias("runs"))
-    split = parts.groupBy("key").agg(F.count("*").alias("classes"), F.max_by("label", F.struct("n", "label")).alias("main"), F.greatest(F.ceil(F.sum("runs") / BLOCK_RUNS), F.ceil(F.sum("n") / BLOCK_TEXTS)).cast("int").alias("n_blocks"))
-    return materialise(named.join(split.filter("classes > 1"), "key").select("key", "node", "label", "main", "n_blocks"), files)
+    split = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.greatest(F.ceil(F.sum("runs") / BLOCK_RUNS), F.ceil(F.sum("n") / BLOCK_TEXTS)).cast("int").alias("n_blocks"))
+    return named.join(split, "key").select("key", "node", "label", "main", "n_blocks")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -300,13 +303,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, ba
     with Scratch(docs.sparkSession) as scratch:
         signed = scratch.hold(base.transform(mapped, lambda it: _sign(it, width, bands, rows), "doc_id long, text_hash long, node long, runs int, bands array<long>, sketch binary, empty boolean"))
         nodes = signed.filter("not empty").groupBy("node").agg(F.min(F.struct("text_hash", "runs", "bands", "sketch")).alias("own")).select("node", "own.*")
+        nodes = scratch.hold(nodes)
         first = nodes.select("node", F.explode(F.slice("bands", 1, FIRST)).alias("key"))
-        shared = _with_pull(materialise(first.join(first.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), files))
+        shared = first.select("key", "node", F.count("*").over(Window.partitionBy("key")).alias("n")).filter("n > 1")
+        shared = _with_pull(materialise(shared, files))
         pairs = shared.join(_pivots(shared), "key").filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         tested = _likely(nodes, pairs.distinct(), similarity, files)
         links = materialise(_overlapping(scratch.hold(_texts(base, nodes, tested)), tested, width, similarity), files)
         labels = components(links, files)
-        mixed = _mixed(nodes.select("node", "runs", F.explode("bands").alias("key")), labels, files)
+        mixed = _mixed(nodes, labels, files)
         if not mixed.isEmpty():
             more = materialise(_settle(scratch, base, nodes, mixed, width, similarity), files)
             if not more.isEmpty():
