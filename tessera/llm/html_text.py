@@ -391,7 +391,9 @@ def train(pages: DataFrame, html_column: str = "html") -> Model:
     """A model fitted to at most SAMPLE_PAGES of the pages."""
     own, at, _ = plain(pages)
     page = F.col(at(html_column))
-    some = own.filter(F.octet_length(page).between(1, SAMPLE_BYTES)).orderBy(F.xxhash64(page), page).limit(SAMPLE_PAGES).select(page.alias("html"))
+    usable = own.select(page.alias("html"), F.xxhash64(*own.columns).alias("hash")).filter(F.octet_length(page).between(1, SAMPLE_BYTES))
+    every = max(1, usable.count() // SAMPLE_PAGES)  # so that a task sends few pages, however many tasks there are
+    some = usable.filter(F.pmod("hash", F.lit(every)) == 0).orderBy("hash", "html").limit(SAMPLE_PAGES)
     return fit(sorted(r["html"] for r in some.collect()))
 
 

@@ -178,7 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: st
     own, at, _ = plain(docs)
     marks, of, _ = plain(labels)
     usable = marks.select(F.col(of(doc_id)).alias("__id"), F.col(of(label)).alias("label")).filter(F.col("__id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("__id")))
-    some = usable.groupBy("__id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    usable = usable.groupBy("__id").agg(F.max("label").alias("label"))
+    every = max(1, usable.count() // (2 * rows))  # so that a task sends few rows, however many tasks there are
+    some = usable.filter(F.pmod(F.xxhash64("__id"), F.lit(every)) == 0).orderBy(F.xxhash64("__id"), "__id").limit(rows)
     found = own.join(F.broadcast(some), F.col(at(doc_id)) == F.col("__id")).select("__id", F.col(at(text)).alias("text"), F.col(at(lang)).alias("lang"), "label")
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
