@@ -11,7 +11,7 @@ of a document is filled, so most runs of a long document give one point or none.
 Signatures are banded; documents that share a band are candidates. In the first FIRST bands each bucket's
 members meet a few pivots (those that share the most), which links copies by the thousand at a few comparisons
 each. Of all bands, the buckets that then hold more than one linked class are settled exactly, by one rule at every
-size: a bucket is dealt by blocks of so many runs, and each member outside the bucket's largest class meets
+size: a bucket is dealt by blocks of so many runs, and the members outside the bucket's largest class, in parts, meet
 every block, by sketches of the whole signatures first; those that agree with another class, in a bucket that is the
 first they share, meet again by exact multiset overlap. Classes are the connected components of these
 links; class_id is the smallest doc_id of a class.
@@ -167,7 +167,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
 
     Rows come sorted by bucket and block, the block's members first.
     """
-    schema = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("asks", pa.bool_()), ("node", pa.int64()), ("label", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("part", pa.int32()), ("asks", pa.bool_()), ("node", pa.int64()), ("label", pa.int64())])
     key, held, out = None, [], []
     sketches = bands = labels = wanted = None
 
@@ -177,9 +177,9 @@ def _agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
 
     for batch in batches:
         for row in batch.to_pylist():
-            if (row["key"], row["block"]) != key:
+            if (row["key"], row["block"], row["part"]) != key:
                 members()
-                key, held, wanted = (row["key"], row["block"]), [], None
+                key, held, wanted = (row["key"], row["block"], row["part"]), [], None
             if not row["asks"]:
                 held.append(row)
                 continue
@@ -222,8 +222,8 @@ def _cross(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
 
     for batch in batches:
         for row in batch.to_pylist():
-            if (row["key"], row["block"]) != key:
-                key, held, joined = (row["key"], row["block"]), [], {}
+            if (row["key"], row["block"], row["part"]) != key:
+                key, held, joined = (row["key"], row["block"], row["part"]), [], {}
             if not row["asks"]:
                 held.append(row)
                 nodes = np.empty(0)
@@ -285,14 +285,14 @@ def _with_pull(rows: DataFrame) -> DataFrame:
 
 
 def _mixed(nodes: DataFrame, labels: DataFrame, files: int) -> DataFrame:
-    """The rows of buckets that hold more than one class, with their label, the bucket's largest class and its blocks."""
+    """The rows of buckets that hold more than one class, with their label, the bucket's largest class, its blocks, and the parts of what is outside that class."""
     named = nodes.select("node", "runs", "bands").join(labels, "node", "left").select("node", "runs", F.coalesce("label", "node").alias("label"), F.explode("bands").alias("key"))
     bucket = Window.partitionBy("key")
     named = named.select("*", F.min("label").over(bucket).alias("lo"), F.max("label").over(bucket).alias("hi")).filter("lo <> hi")
     named = materialise(named.select("key", "node", "label", "runs"), files)
     parts = named.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("runs").alias("runs"))
-    split = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.greatest(F.ceil(F.sum("runs") / BLOCK_RUNS), F.ceil(F.sum("n") / BLOCK_TEXTS)).cast("int").alias("n_blocks"))
-    return named.join(split, "key").select("key", "node", "label", "main", "n_blocks")
+    split = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.ceil((F.sum("n") - F.max("n")) / BLOCK_TEXTS).cast("int").alias("n_parts"), F.greatest(F.ceil(F.sum("runs") / BLOCK_RUNS), F.ceil(F.sum("n") / BLOCK_TEXTS)).cast("int").alias("n_blocks"))
+    return named.join(split, "key").select("key", "node", "label", "main", "n_blocks", "n_parts")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -361,14 +361,14 @@ def _settle(scratch: Scratch, base: DataFrame, nodes: DataFrame, rows: DataFrame
     """Links between the classes of the buckets in rows, of any size."""
     dealt = rows.join(nodes.select("node", "sketch", "bands"), "node")
     whole = ["key", "node", "label", "sketch", "bands"]
-    members = dealt.select(*whole, F.pmod(F.xxhash64("node"), "n_blocks").cast("int").alias("block"), F.lit(False).alias("asks"))
-    asking = dealt.filter("label <> main").select(*whole, F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
-    order = ["key", "block", "asks"]
+    members = dealt.select(*whole, F.pmod(F.xxhash64("node"), "n_blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"), F.lit(False).alias("asks"))
+    asking = dealt.filter("label <> main").select(*whole, F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node"), "n_parts").cast("int").alias("part"), F.lit(True).alias("asks"))
+    order = ["key", "block", "part", "asks"]
     least = AGREE * similarity / 0.8
-    agree = members.union(asking).repartition("key", "block").sortWithinPartitions(*order).transform(mapped, lambda it: _agreeing(it, least), "key long, block int, asks boolean, node long, label long")
+    agree = members.union(asking).repartition(*order[:3]).sortWithinPartitions(*order).transform(mapped, lambda it: _agreeing(it, least), "key long, block int, part int, asks boolean, node long, label long")
     agree = scratch.hold(agree)
     bags = _texts(base, nodes, agree.select(F.col("node").alias("a"), F.col("node").alias("b"))).transform(mapped, lambda it: _bags(it, width), "node long, bag binary")
-    sent = agree.join(nodes.select("node", "sketch"), "node").join(bags, "node").repartition("key", "block").sortWithinPartitions(*order)
+    sent = agree.join(nodes.select("node", "sketch"), "node").join(bags, "node").repartition(*order[:3]).sortWithinPartitions(*order)
     return sent.transform(mapped, lambda it: _cross(it, similarity), "a long, b long, similarity double").distinct()
 
 
