@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import plain
-from tessera.llm.license_texts import LICENSES, NOTICES, SPELLINGS
+from tessera.llm.license_texts import DIGESTS, LICENSES, NOTICES, SPELLINGS
 
-#: A line of a copyright notice, once stripped.
-COPYRIGHT = r"^(copyright)+c?(year|yyyy|[0-9]{4})|^c[0-9]{4}|^allrightsreserved$"
+#: A line of a copyright notice, once stripped: it begins with the word and the sign, or with one of them and names a year.
+COPYRIGHT = r"^(portions)?copyright(copyright|year|yyyy|.*(19|20)[0-9]{2})|^allrightsreserved$"
 _STRIP = r"[^\p{L}\p{N}\n]+"
 _PLAIN = [(re.sub(r"\W", "", a), re.sub(r"\W", "", b)) for a, b in SPELLINGS]
 _SPELLINGS = [(a, b) for a, b in _PLAIN if a != b]
@@ -31,7 +31,8 @@ _SPELLINGS = [(a, b) for a, b in _PLAIN if a != b]
 
 def canonical_lines(text: Column) -> Column:
     """The stripped lines of a text, without copyright lines."""
-    plain = F.regexp_replace(F.lower(F.replace(text, F.lit("©"), F.lit("copyright"))), _STRIP, "")
+    marked = F.replace(F.replace(F.lower(text), F.lit("©"), F.lit("copyright")), F.lit("(c)"), F.lit("copyright"))
+    plain = F.regexp_replace(marked, _STRIP, "")
     for a, b in _SPELLINGS:
         plain = F.replace(plain, F.lit(a), F.lit(b))
     return F.filter(F.split(plain, "\n"), lambda x: (x != "") & ~x.rlike(COPYRIGHT))
@@ -42,7 +43,9 @@ def known(spark: SparkSession) -> DataFrame:
     whole = [(name, text, False) for name, titles, body in LICENSES for text in [body, *(f"{t}\n\n{body}" for t in titles)]]
     rows = spark.createDataFrame(whole + [(name, text, True) for name, text in NOTICES], "license string, text string, is_notice boolean")
     rows = rows.withColumn("canonical", F.array_join(canonical_lines(F.col("text")), ""))
-    return rows.select(F.sha2("canonical", 256).alias("digest"), "license", "is_notice", F.length("canonical").alias("size")).distinct()
+    return rows.select(F.sha2("canonical", 256).alias("digest"), "license", "is_notice", F.length("canonical").alias("size")).union(
+        spark.createDataFrame([(d, name, False, 0) for name, d in DIGESTS], "digest string, license string, is_notice boolean, size int")
+    ).distinct()
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -69,14 +72,16 @@ def oracle() -> str:
     whole = [(name, text, "false") for name, titles, body in LICENSES for text in [body, *(f"{t}\n\n{body}" for t in titles)]]
     rows = ", ".join(f"({quote(n)}, {quote(t)}, {k})" for n, t, k in whole + [(n, t, "true") for n, t in NOTICES])
 
+    digests = ", ".join(f"({quote(d)}, {quote(name)}, false)" for name, d in DIGESTS)
+
     def lines(text: str) -> str:
-        plain = rf"regexp_replace(lower(replace({text}, '©', 'copyright')), '{_STRIP}', '', 'g')"
+        plain = rf"regexp_replace(replace(replace(lower({text}), '©', 'copyright'), '(c)', 'copyright'), '{_STRIP}', '', 'g')"
         for a, b in _SPELLINGS:
             plain = f"replace({plain}, '{a}', '{b}')"
         return f"list_filter(string_split({plain}, chr(10)), lambda x: x <> '' AND NOT regexp_matches(x, '{COPYRIGHT}'))"
 
     return f"""
-WITH k AS (SELECT DISTINCT sha256(array_to_string({lines("t")}, '')) AS digest, license, is_notice FROM (VALUES {rows}) v(license, t, is_notice)),
+WITH k AS (SELECT DISTINCT sha256(array_to_string({lines("t")}, '')) AS digest, license, is_notice FROM (VALUES {rows}) v(license, t, is_notice) UNION SELECT * FROM (VALUES {digests})),
 d AS (SELECT doc_id, {lines("text")} AS l FROM documents),
 n AS (SELECT doc_id, list_sort(list(DISTINCT license)) AS notices FROM (SELECT doc_id, unnest(l) AS x FROM d) JOIN k ON sha256(x) = k.digest AND is_notice GROUP BY doc_id)
 SELECT d.doc_id, sha256(array_to_string(l, '')) AS digest, k.license, array_to_string(coalesce(n.notices, []), ',') AS notices
