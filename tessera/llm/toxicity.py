@@ -58,7 +58,7 @@ class Model:
 
     def _layout(self, packed: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Embeddings with empty places after each text, so that no window reaches the next one."""
-        pad = max(WIDTHS) - 1
+        pad = max(WIDTHS)  # an empty text has one window, all padding
         starts = np.cumsum(counts + pad) - (counts + pad)
         x = np.zeros((int((counts + pad).sum()) + pad, 2 * DIM), np.float32)
         at = ranges(starts, counts)
@@ -81,6 +81,42 @@ class Model:
         pooled = [np.maximum.reduceat(self._responses(x, w, f), np.minimum(edges, len(x) - max(WIDTHS)), axis=0)[::2] for w, f in zip(WIDTHS, self.filters)]
         return np.maximum(np.concatenate(pooled, 1) + self.bias, 0) @ self.out + self.offset
 
+    def gradients(self, packed: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> tuple:
+        """Of the mean logistic loss: for each table the rows and their gradients, then filters, bias, output weights and offset."""
+        x, starts, at = self._layout(packed, counts)
+        place = np.full(len(x), -1, np.int64)
+        place[at] = packed
+        pooled, best = [], []
+        for w, f in zip(WIDTHS, self.filters):
+            r = self._responses(x, w, f)
+            top = np.stack([s + r[s : s + max(n, 1)].argmax(0) for s, n in zip(starts, counts)])
+            best.append(top)
+            pooled.append(np.take_along_axis(r, top, 0))
+        hidden = np.maximum(np.concatenate(pooled, 1) + self.bias, 0)
+        error = (1 / (1 + np.exp(-(hidden @ self.out + self.offset))) - labels).astype(np.float32) / len(counts)
+        back = error[:, None] * self.out * (hidden > 0)
+        filters, rows, many = [], [], []
+        for k, (w, f) in enumerate(zip(WIDTHS, self.filters)):
+            g = back[:, k * FILTERS : (k + 1) * FILTERS]
+            d, c = np.nonzero(g)
+            at_best, value = best[k][d, c], g[d, c]
+            near = np.concatenate([x[at_best + j] for j in range(w)], 1)
+            own = np.zeros_like(f)
+            np.add.at(own.T, c, near * value[:, None])
+            filters.append(own)
+            for j in range(w):
+                rows.append(place[at_best + j])
+                many.append(f[2 * DIM * j : 2 * DIM * (j + 1), c].T * value[:, None])
+        row, value = np.concatenate(rows), np.concatenate(many)
+        row, value = row[row >= 0], value[row >= 0]
+        tables = []
+        for t, bucket in enumerate((row & 0xFFFF, row >> 16)):
+            own, inverse = np.unique(bucket, return_inverse=True)
+            g = np.zeros((len(own), DIM), np.float32)
+            np.add.at(g, inverse, value[:, t * DIM : (t + 1) * DIM])
+            tables.append((own, g))
+        return tables, filters, back.sum(0), hidden.T @ error, float(error.sum())
+
     def fit(self, packed: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> None:
         rate = labels.mean() if len(labels) else 0.0
         if rate in (0.0, 1.0):
@@ -107,45 +143,16 @@ class Model:
             order = self.rng.permutation(len(counts))
             for i in range(0, len(order), BATCH):
                 some = order[i : i + BATCH]
-                x, starts, at = self._layout(words := packed[ranges(begins[some], counts[some])], counts[some])
-                place = np.full(len(x), -1, np.int64)
-                place[at] = words
-                pooled, best = [], []
-                for w, f in zip(WIDTHS, self.filters):
-                    r = self._responses(x, w, f)
-                    top = np.stack([s + r[s : s + max(n, 1)].argmax(0) for s, n in zip(starts, counts[some])])
-                    best.append(top)
-                    pooled.append(np.take_along_axis(r, top, 0))
-                hidden = np.maximum(np.concatenate(pooled, 1) + self.bias, 0)
-                error = (1 / (1 + np.exp(-(hidden @ self.out + self.offset))) - labels[some]).astype(np.float32) / len(some)
-                back = error[:, None] * self.out * (hidden > 0)
-                grads = [hidden.T @ error, back.sum(0)]
-                filter_grads = []
-                table_rows, table_grads = [], []
-                for k, (w, f) in enumerate(zip(WIDTHS, self.filters)):
-                    g = back[:, k * FILTERS : (k + 1) * FILTERS]
-                    d, c = np.nonzero(g)
-                    at_best, value = best[k][d, c], g[d, c]
-                    near = np.concatenate([x[at_best + j] for j in range(w)], 1)
-                    fg = np.zeros_like(f)
-                    np.add.at(fg.T, c, near * value[:, None])
-                    filter_grads.append(fg)
-                    for j in range(w):
-                        table_rows.append(place[at_best + j])
-                        table_grads.append(f[2 * DIM * j : 2 * DIM * (j + 1), c].T * value[:, None])
-                rows, many = np.concatenate(table_rows), np.concatenate(table_grads)
-                rows, many = rows[rows >= 0], many[rows >= 0]
-                for t, bucket in enumerate((rows & 0xFFFF, rows >> 16)):
-                    own, inverse = np.unique(bucket, return_inverse=True)
-                    g = np.zeros((len(own), DIM), np.float32)
-                    np.add.at(g, inverse, many[:, t * DIM : (t + 1) * DIM])
+                words, n = packed[ranges(begins[some], counts[some])], counts[some]
+                tables, filters, bias, out, offset = self.gradients(words, n, labels[some])
+                for t, (own, g) in enumerate(tables):
                     memory[0][t][own] += g * g
                     self.tables[t][own] -= step * g / np.sqrt(memory[0][t][own])
-                for value, g, held in zip((*self.filters, self.bias, self.out), (*filter_grads, grads[1], grads[0]), memory[1:]):
+                for value, g, held in zip((*self.filters, self.bias, self.out), (*filters, bias, out), memory[1:]):
                     held += g * g
                     value -= step * 0.3 * g / np.sqrt(held)
-                offset_memory += float(error.sum()) ** 2
-                self.offset -= step * 0.3 * float(error.sum()) / offset_memory**0.5
+                offset_memory += offset**2
+                self.offset -= step * 0.3 * offset / offset_memory**0.5
 
     def calibrate(self, logits: np.ndarray, labels: np.ndarray, langs: list) -> None:
         if len(labels) and 0 < labels.mean() < 1:

@@ -84,3 +84,17 @@ def test_empty(none, spark, docs):
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert find_items(none, items).collect() == []
     assert find_items(docs, items.limit(0)).collect() == []
+
+
+def test_a_large_benchmark_goes_in_groups(spark, monkeypatch):
+    """50,000 items: what the driver holds at once is bounded by a group."""
+    from tessera.llm import decontamination
+
+    held = []
+    own = decontamination.column
+    monkeypatch.setattr(decontamination, "column", lambda t, n: held.append(t.num_rows) or own(t, n))
+    items = spark.range(50_000).selectExpr("id AS item_id", "concat_ws(' ', 'item', id, id + 1, id * 7, 'of', id % 13, 'words') AS text")
+    docs = spark.createDataFrame([(i, f"before item {i} {i + 1} {i * 7} of {i % 13} words after") for i in range(0, 50_000, 5000)] + [(-1, "nothing here")], "doc_id long, text string")
+    got = decontamination.find_items(docs, items)
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(i, i) for i in range(0, 50_000, 5000)]
+    assert len(held) >= 10 and max(held) < 1.2 * decontamination.GROUP_ITEMS

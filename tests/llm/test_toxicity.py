@@ -1,5 +1,8 @@
 import random
+from math import exp, log
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +55,78 @@ def test_empty(none, labelled):
     assert toxicity.score(none, toxicity.train(docs, labels.limit(0))).collect() == []
     model = toxicity.train(docs, labels.filter("toxic = 1"))
     assert {round(r.toxicity, 6) for r in toxicity.score(docs, model).collect()} == {1.0}
+
+
+def plain_score(model, text):
+    """The forward pass, word by word."""
+    packed, _ = toxicity._buckets(pa.array([text], pa.string()))
+    x = [np.concatenate([model.tables[0][int(p) & 0xFFFF], model.tables[1][int(p) >> 16]]).astype(float) for p in packed]
+    zero = np.zeros(2 * toxicity.DIM)
+    logit, k = model.offset, 0
+    for w, f in zip(toxicity.WIDTHS, model.filters):
+        for c in range(toxicity.FILTERS):
+            best = max(sum(float((x[i + j] if i + j < len(x) else zero) @ f[2 * toxicity.DIM * j : 2 * toxicity.DIM * (j + 1), c]) for j in range(w)) for i in range(max(1, len(x))) ) if x else 0.0
+            logit += max(best + float(model.bias[k]), 0.0) * float(model.out[k])
+            k += 1
+    return 1 / (1 + exp(-logit))
+
+
+def test_scores_are_those_of_a_plain_forward_pass(labelled, spark):
+    model = toxicity.train(*labelled)
+    texts = [r.text for r in labelled[0].limit(25).collect()] + ["", "nasty", None, "unseen words only", "vile vile"]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert [r.toxicity for r in sorted(got, key=lambda r: r.doc_id)] == pytest.approx([plain_score(model, t) for t in texts], abs=1e-4)
+
+
+def test_the_query_agrees_with_a_plain_forward_pass(spark, sf_dir):
+    from tessera.llm.common import read
+    from tessera.llm.queries import op6_toxicity
+
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = op6_toxicity(spark, sf_dir).collect()
+    assert len(got) == len(texts) and all(r.predicted == (r.score >= 0.3) for r in got)
+    short = sorted(texts, key=lambda i: len(texts[i] or ""))[:60]
+    score = {r.doc_id: r.score for r in got}
+    assert [score[i] for i in short] == pytest.approx([plain_score(model, texts[i]) for i in short], abs=1e-4)
+
+
+def test_gradients():
+    """Beside differences of the loss."""
+    rng = np.random.default_rng(0)
+    model = toxicity.Model()
+    model.tables[:] = rng.standard_normal(model.tables.shape).astype(np.float32) * 0.3
+    model.out = model.out * 5
+    model.bias[:] = 0.02  # off the kink, where an empty text would stand
+    packed, counts = toxicity._buckets(pa.array(["a b c d e", "b", "x y z a q r", ""]))
+    labels = np.array([1, 0, 1, 0], np.float32)
+
+    def loss():
+        p = 1 / (1 + np.exp(-model.logits(packed, counts).astype(float)))
+        return -float(np.mean([log(q) if y else log(1 - q) for q, y in zip(p, labels)]))
+
+    tables, filters, bias, out, offset = model.gradients(packed, counts, labels)
+    eps = 1e-3
+    checked = 0
+    cases = [(model.filters[k], filters[k], [tuple(i) for i in np.argwhere(abs(filters[k]) > 0.01)[:6]]) for k in range(3)]
+    cases += [(model.bias, bias, [(i,) for i in range(0, 36, 7)]), (model.out, out, [(i,) for i in range(0, 36, 7)])]
+    for t, (rows, g) in enumerate(tables):
+        whole = np.zeros_like(model.tables[t])
+        whole[rows] = g
+        cases.append((model.tables[t], whole, [(int(r), c) for r in rows[:4] for c in (0, 3)]))
+    for value, gradient, places in cases:
+        for at in places:
+            held = value[at]
+            value[at] = held + eps
+            up = loss()
+            value[at] = held - eps
+            down = loss()
+            value[at] = held
+            assert gradient[at] == pytest.approx((up - down) / (2 * eps), abs=4e-3)
+            checked += 1
+    assert checked > 30
+    model.offset += eps
+    up = loss()
+    model.offset -= 2 * eps
+    assert offset == pytest.approx((up - loss()) / (2 * eps), abs=1e-3)
