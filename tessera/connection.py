@@ -276,12 +276,28 @@ class Connection:
             return self._spark_sql(statement, parameters, frames, kind)
 
     def _spark_sql(self, statement: str, parameters: Any, frames: list, kind: str = "SELECT") -> DataFrame | None:
+        if named := sql_text.by_name(statement):
+            parts, keeps = named
+            out = self._spark_sql(parts[0], parameters, frames)
+            for part, keep in zip(parts[1:], keeps):
+                out = out.unionByName(self._spark_sql(part, parameters, frames), allowMissingColumns=True)
+                out = out if keep else out.distinct()
+            return out
         text, args = sql_text.bind(statement, parameters)
+        text = re.sub(r"(?i)\bcurrent_setting\s*\(\s*'(\w+)'\s*\)", self._setting, text)
         text = sql_text.spark_sql(text)
         self._replace(text, frames)
         df = self.spark.sql(text, args=args) if args else self.spark.sql(text)
         return df if kind in ("SELECT", "DESCRIBE", "SHOW", "EXPLAIN", "CALL") or df.columns else None
 
+    def _setting(self, found: re.Match) -> str:
+        """The value of current_setting('name'), as a literal."""
+        name = found[1].lower()
+        if name not in self.settings:
+            raise CatalogException(f"there is no setting {name}")
+        value = self.settings[name]
+        return str(value).lower() if isinstance(value, bool) else str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "''") + "'"
+
     def _replace(self, text: str, frames: list) -> None:
         """Make temporary views of the Python objects that a query names."""
         if not frames:

@@ -33,18 +33,32 @@ _sql("sql_unpivot", "part", "SELECT p_partkey, field, v FROM (SELECT p_partkey,
 _sql("sql_lateral", "customer orders", "SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)")
 _sql("sql_values", "region", "SELECT * FROM (VALUES (1, 'a'), (2, 'b')) t(x, y)")
 _sql("sql_range", "region", "SELECT id AS range FROM range(0, 20, 3)", "SELECT range FROM range(0, 20, 3)")
-_sql("sql_unnest", "embeddings", "SELECT vec_id, explode(slice(embedding, 1, 3)) AS x FROM embeddings", "SELECT vec_id, unnest(embedding[1:3]) AS x FROM embeddings")
+_sql("sql_unnest", "embeddings", "SELECT vec_id, unnest(embedding) AS x FROM embeddings")
+_sql("sql_slice", "embeddings", "SELECT vec_id, unnest(embedding[2:5]) AS x, embedding[1] AS first, embedding[-1] AS last FROM embeddings")
+_sql("sql_list_literal", "part", "SELECT p_partkey, array_to_string([p_brand, p_type, 'x'], '-') AS joined, list_contains([1, 2, 3], p_size) AS low FROM part")
+_sql("sql_list_transform", "embeddings", "SELECT vec_id, round(list_reduce(list_transform(embedding, lambda x: x * x), lambda a, b: a + b), 4) AS norm FROM embeddings", "SELECT vec_id, round(list_reduce(list_transform(embedding, lambda x: x * x), lambda a, b: a + b), 4) AS norm FROM embeddings")
+_sql("sql_list_filter", "embeddings", "SELECT vec_id, CAST(len(array_to_string(list_transform(list_filter(embedding, lambda x: x > 0), lambda x: 'p'), '')) AS BIGINT) AS positive FROM embeddings")
+_sql("sql_list_keeps_nulls", "orders", "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n, array_to_string(list_transform(list(nullif(o_orderpriority, '1-URGENT')), lambda x: coalesce('', 'v')), '') AS e, list_unique(list(nullif(o_orderpriority, '1-URGENT'))) AS kinds FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, count(*) AS n, '' AS e, list_unique(list(nullif(o_orderpriority, '1-URGENT')))::BIGINT AS kinds FROM orders GROUP BY o_orderstatus")
+_sql("sql_list_length", "orders", "SELECT o_orderstatus, length(array_to_string(list_transform(list(nullif(o_orderpriority, '1-URGENT')), lambda x: 'v'), '')) AS n FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, count(*)::INT AS n FROM orders GROUP BY o_orderstatus")
+_sql("sql_regexp_replace", "part", "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '_') AS first, regexp_replace(p_name, '[AEIOU]', '_', 'gi') AS every FROM part")
+_sql("sql_string_split", "part", "SELECT p_partkey, unnest(string_split(concat(p_brand, '.', p_type), '.')) AS part FROM part")
+_sql("sql_modulo", "part", "SELECT p_partkey, p_partkey % (p_size - p_size) AS zero, p_size % 7 AS seven, (p_partkey + 1) % p_size AS size FROM part", "SELECT p_partkey, p_partkey % nullif(p_size - p_size, 0) AS zero, p_size % 7 AS seven, (p_partkey + 1) % p_size AS size FROM part")
+_sql("sql_dates", "orders", "SELECT o_orderkey, CAST(dayofweek(o_orderdate) AS BIGINT) AS d, CAST(isodow(o_orderdate) AS BIGINT) AS i, date_diff('day', TIMESTAMP '1995-01-01 12:00:00', o_orderdate) AS days, date_diff('month', TIMESTAMP '1995-01-15 00:00:00', o_orderdate) AS months, date_diff('year', o_orderdate, TIMESTAMP '2000-06-01 00:00:00') AS years, strftime(o_orderdate, '%Y/%m/%dT%H:%M') AS text FROM orders")
+_sql("sql_hours", "events", "SELECT event_id, date_diff('hour', TIMESTAMP '2024-01-01 00:30:00', ts) AS h, date_diff('minute', TIMESTAMP '2024-01-01 00:30:00', ts) AS m FROM events")
+_sql("sql_numbers", "customer", "SELECT c_custkey, trunc(c_acctbal) AS t, isinf(c_acctbal) AS i, xor(c_nationkey, 5) AS x, sha256(c_name) AS s FROM customer")
+_sql("sql_current_setting", "region", "SELECT r_name, current_setting('python_enable_replacements') AS s FROM region", "SELECT r_name, false AS s FROM region")
 _sql("sql_group_all_order_all", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL ORDER BY ALL")
 _sql("sql_is_distinct", "events", "SELECT event_id FROM events WHERE nullif(event_type, 'click') IS NOT DISTINCT FROM NULL")
 _sql("sql_interval", "events", "SELECT event_id, ts + INTERVAL 2 DAY AS later FROM events")
 _sql("sql_case_in", "part", "SELECT p_partkey, CASE WHEN p_size IN (1, 2) THEN 'tiny' WHEN p_size BETWEEN 3 AND 10 THEN 'small' ELSE 'other' END AS s FROM part")
 _sql("sql_params_question", "orders", "SELECT o_orderkey FROM orders WHERE o_orderstatus = ? AND o_totalprice > ?", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 150000", ["F", 150000])
 _sql("sql_params_named", "orders", "SELECT o_orderkey FROM orders WHERE o_orderstatus = $s AND o_totalprice > $p", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 250000", {"s": "O", "p": 250000})
-_sql("sql_union_by_name", "nation region", "SELECT n_name AS name, n_regionkey AS k FROM nation UNION ALL SELECT r_name, r_regionkey FROM region")
+_sql("sql_union_by_name", "nation region", "SELECT n_name AS name, n_regionkey AS k FROM nation UNION ALL BY NAME SELECT r_regionkey AS k, r_name AS name, 1 AS more FROM region")
+_sql("sql_union_by_name_distinct", "nation region", "SELECT n_regionkey AS k, 'x' AS x FROM nation UNION BY NAME SELECT 'x' AS x, r_regionkey AS k FROM region")
 _sql("sql_except", "lineitem", "SELECT DISTINCT l_orderkey FROM lineitem EXCEPT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'")
 _sql("sql_intersect", "lineitem", "SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")
 _sql("sql_filter_window", "orders", "SELECT o_orderkey, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS f FROM orders", "SELECT o_orderkey, (sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::BIGINT AS f FROM orders")
-_sql("sql_struct", "part", "SELECT p_partkey, named_struct('b', p_brand, 's', p_size).s AS s FROM part", "SELECT p_partkey, struct_pack(b := p_brand, s := p_size).s AS s FROM part")
+_sql("sql_struct", "part", "SELECT p_partkey, struct_pack(b := p_brand, s := p_size).s AS s FROM part")
 _sql("sql_conversations", "conversations", "SELECT conv_id, count(*) AS turns, max(length(text)) AS longest FROM conversations GROUP BY conv_id", "SELECT conv_id, count(*) AS turns, max(length(text))::INT AS longest FROM conversations GROUP BY conv_id")
 _sql("sql_documents_by_lang", "documents", "SELECT lang, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY lang", "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
 

@@ -17,6 +17,13 @@ def squeezed(text):
         ("select a // 2 from t", "select a div 2 from t"),
         ("select 'x // \"y\"' from t", "select 'x // \"y\"' from t"),
         ("select a::INTEGER[] from t", "select a::array<int> from t"),
+        ("select [1, 2], x[1:2], t.x[i], m['k'] from t", "select array(1, 2), slice(x, 1, greatest(2 - 1 + 1, 0)), try_element_at(t.x, i), m['k'] from t"),
+        ("select list_filter(l, lambda x: x > 1), unnest([a])", "select filter(l, x -> x > 1), explode(array(a))"),
+        ("select struct_pack(a := 1, b := f(2))", "select named_struct('a', 1, 'b', f(2))"),
+        ("select (a + 1) % f(b) from t where c in ('[x]', \"y\")", "select (a + 1) % nullif(f(b), 0) from t where c in ('[x]', `y`)"),
+        ("select list(v) filter (where v > 1) from t", "select transform(collect_list(struct(v AS v)) filter (where v > 1), x -> x.v) from t"),
+        ("select cast(a as text), b as text from t", "select cast(a as string), b as text from t"),
+        ("select strftime(d, '%Y-%m')", "select date_format(d, 'yyyy-MM')"),
         ("select a from t order by a", "select a from t order by a ASC NULLS LAST"),
         ("select a from t order by a desc, b nulls first limit 3", "select a from t order by a desc NULLS LAST, b nulls first limit 3"),
         ("select sum(a) over (partition by b order by c rows between 1 preceding and current row) from t", "select sum(a) over (partition by b order by c ASC NULLS LAST rows between 1 preceding and current row) from t"),
@@ -36,3 +43,8 @@ def test_scripts_and_parameters():
         S.bind("select 1", [1])
     assert S.kind("-- hi\n insert into t values (1)") == "INSERT"
     assert S.tokenize("a + 1") == [(0, "word"), (2, "op"), (4, "number")]
+
+
+def test_unions_by_name():
+    assert S.by_name("select 1 union all by name select 2 union by name select 3") == (["select 1", "select 2", "select 3"], [True, False])
+    assert S.by_name("select 1 union all select 2") is None and S.by_name("select 'union by name'") is None
