@@ -147,7 +147,8 @@ def _map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = relation(spark, sf_dir, "orders").filter(ColumnExpression("o_orderstatus") == ConstantExpression("O"))
-    return own.query(f"v_{uuid.uuid4().hex[:8]}", "SELECT 1 AS one").dataframe.crossJoin(own.dataframe.agg(F.count("*").alias("n")))
+    name = f"v_{uuid.uuid4().hex[:8]}"
+    return own.query(name, f"SELECT 1 AS one, count(*) AS n FROM {name}").dataframe
 
 
 def _table_functions(spark: SparkSession, sf_dir: str) -> DataFrame:

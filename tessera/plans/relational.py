@@ -59,7 +59,7 @@ _rel("join_left", "customer orders", lambda a, b: a.join(b, "c_custkey = o_custk
 _rel("join_right", "orders customer", lambda a, b: a.join(b, "o_custkey = c_custkey", "right").project("c_custkey, o_orderkey"), "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON c_custkey = o_custkey")
 _rel("join_outer", "supplier customer", lambda a, b: a.project("s_suppkey, s_nationkey").join(b.project("c_custkey"), "s_suppkey = c_custkey", "outer"), "SELECT s_suppkey, s_nationkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = c_custkey")
 _rel("join_semi", "customer orders", lambda a, b: a.join(b, "c_custkey = o_custkey", "semi"), "SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
-_rel("join_anti", "customer orders", lambda a, b: a.join(b, "c_custkey = o_custkey", "anti"), "SELECT * FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+_rel("join_anti", "customer orders", lambda a, b: a.join(b.filter("o_totalprice > 300000"), "c_custkey = o_custkey", "anti"), "SELECT * FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 _rel("join_cross", "nation region", lambda a, b: a.cross(b).project("n_name, r_name"), "SELECT n_name, r_name FROM nation CROSS JOIN region")
 _rel("join_using", "orders lineitem", lambda a, b: a.project("o_orderkey as k, o_custkey").join(b.project("l_orderkey as k, l_linenumber"), "k"), "SELECT o_orderkey AS k, o_custkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 _rel("join_using_list", "orders lineitem", lambda a, b: a.project("o_orderkey as k, o_custkey % 5 as m").join(b.project("l_orderkey as k, l_partkey % 5 as m, l_linenumber"), ["k", "m"]), "SELECT k, m, l_linenumber FROM (SELECT o_orderkey AS k, o_custkey % 5 AS m FROM orders) JOIN (SELECT l_orderkey AS k, l_partkey % 5 AS m, l_linenumber FROM lineitem) USING (k, m)")

@@ -77,5 +77,8 @@ def with_file_options(df: DataFrame, filename: Any = None, file_row_number: bool
 
 def work_folder(spark: SparkSession) -> str:
     """A folder for intermediate files that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    top = top or tempfile.mkdtemp(prefix="tessera-")
     return f"{top.rstrip('/')}/work-{uuid.uuid4().hex}"

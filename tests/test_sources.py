@@ -31,7 +31,7 @@ def test_csv(con, tmp_path):
     assert con.read_csv(put(tmp_path / "f.csv", "d,v\n15/02/2006,1\n"), header=True, date_format="%d/%m/%Y", dtype={"d": "DATE"}).fetchall() == [(datetime.date(2006, 2, 15), 1)]
     assert con.read_csv(put(tmp_path / "g.csv", "a,b\n1,x\nq,y\n"), header=True, columns={"a": "INTEGER", "b": "VARCHAR"}, ignore_errors=True).columns == ["a", "b"]
     assert con.read_csv(io.StringIO("a,b\n7,8\n"), header=True).fetchall() == [(7, 8)]
-    assert con.read_csv(put(tmp_path / "h.csv", "1,2\n"), header=False, names=["x"]).columns == ["x", "column1"] or True
+    assert con.read_csv(put(tmp_path / "h.csv", "1,2\n"), header=False, names=["x"]).columns[0] == "x"
     assert con.read_csv(put(tmp_path / "i.csv", "A b,1C\n1,2\n"), header=True, normalize_names=True).columns == ["a_b", "_1c"]
     for bad in ({"headers": True}, {"sep": ",", "delimiter": ","}, {"names": ["a", "a"]}, {"dtype": {"zz": "INT"}}):
         with pytest.raises(InvalidInputException):
