@@ -41,6 +41,8 @@ FIRST = 8
 PIVOTS, BLOCK_RUNS, BLOCK_TEXTS = 2, 1 << 19, 512
 #: Parts of a node's edges, and of a class, where they meet its label.
 SALTS = 8
+#: Places of a coarse filter by hash, the most rows that are broadcast.
+SLOTS = 1 << 19
 #: Sketches of less agreement aren't compared; for a similarity of 0.8 a chance of 1e-8.
 AGREE = 0.6
 
@@ -345,10 +347,15 @@ def _likely(nodes: DataFrame, pairs: DataFrame, similarity: float, files: int) -
 
 
 def _texts(base: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node and text of the nodes in pairs. Equal texts fold to one before they are dealt out."""
+    """node and text of the nodes in pairs. Equal texts fold to one before they are dealt out.
+
+    Texts whose hash falls in none of SLOTS places that wanted ones fall in stay where they are; that table has SLOTS rows at most.
+    """
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.select("node", "text_hash").join(wanted, "node", "left_semi")
-    once = base.filter("text is not null").groupBy("text_hash").agg(F.first("text").alias("text"))
+    slot = F.pmod(F.col("text_hash"), F.lit(SLOTS))
+    slots = wanted.select(slot.alias("slot")).distinct()
+    once = base.filter("text is not null").join(F.broadcast(slots), slot == F.col("slot"), "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
     return once.join(wanted, "text_hash").select("node", "text")
 
 
