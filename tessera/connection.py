@@ -22,6 +22,8 @@ from tessera.udf import Functions
 
 apilevel, threadsafety, paramstyle = "2.0", 1, "qmark"
 _SETTINGS = {"pandas_analyze_sample": 1000, "python_enable_replacements": True, "python_scan_all_frames": False}
+#: Settings that are kept but change nothing here: Spark's own configuration rules threads and memory.
+_KEPT = {"threads", "worker_threads", "memory_limit", "max_memory", "temp_directory", "timezone", "enable_progress_bar", "preserve_insertion_order", "profiling", "enable_profiling", "default_null_order", "default_order"}
 
 
 class Statement:
@@ -337,6 +339,8 @@ class Connection:
             self.spark.conf.set(found[1], value)
         else:
             kinds = {"true": True, "false": False}
+            if name not in _SETTINGS and name not in _KEPT:
+                raise CatalogException(f"there is no setting {name}")
             self.settings[name] = kinds.get(value.lower(), int(value) if value.isdigit() else value)
             if name == "timezone":
                 self.spark.conf.set("spark.sql.session.timeZone", value)
@@ -422,8 +426,14 @@ class Connection:
         own = change(old).select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in schema])
         beside = f"{name}_{uuid.uuid4().hex[:12]}"
         own.write.format("parquet").saveAsTable(beside)
-        self.spark.sql(f"DROP TABLE {name}")
-        self.spark.sql(f"ALTER TABLE {beside} RENAME TO {name.split('.')[-1]}")
+        away = f"{beside}_old"
+        self.spark.sql(f"ALTER TABLE {name} RENAME TO {away}")
+        try:
+            self.spark.sql(f"ALTER TABLE {beside} RENAME TO {name}")
+        except Exception:
+            self.spark.sql(f"ALTER TABLE {away} RENAME TO {name}")
+            raise
+        self.spark.sql(f"DROP TABLE {away}")
         self.spark.catalog.refreshTable(name)
 
     def _run_copy(self, statement: str, parameters: Any, frames: list) -> Any:

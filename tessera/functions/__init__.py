@@ -37,13 +37,16 @@ def skewness_sample(column) -> Column:
 
 
 def mode_first(column, order) -> Column:
-    """The most frequent value; of several, the one that comes first by an order column."""
+    """The most frequent value; of several, the one that comes first by an order column. One sort of a group's values, then their runs."""
     own, place = (F.col(c) if isinstance(c, str) else c for c in (column, order))
-    pairs = F.array_sort(F.collect_list(F.struct(place.alias("place"), own.alias("v"))))
-    values = F.transform(pairs, lambda s: s["v"])
-    kept = F.filter(values, lambda v: v.isNotNull())
-    counted = F.transform(F.array_distinct(kept), lambda v: F.struct((-F.size(F.filter(kept, lambda w: w == v))).alias("n"), F.array_position(kept, v).alias("at"), v.alias("v")))
-    return F.array_min(counted)["v"]
+    pairs = F.array_sort(F.collect_list(F.when(own.isNotNull(), F.struct(own.alias("v"), place.alias("place")))))
+
+    def counted(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i < F.size(s)) & ((i == 0) | (F.get(s, i)["v"] != F.get(s, i - 1)["v"])))
+        runs = lambda b: F.transform(b, lambda p, k: F.struct((p - F.coalesce(F.get(b, k + 1), F.size(s))).alias("n"), F.get(s, p)["place"].alias("at"), F.get(s, p)["v"].alias("v")))
+        return F.get(F.transform(F.array(begins), lambda b: F.array_min(runs(b))), F.lit(0))
+
+    return F.get(F.transform(F.array(pairs), counted), F.lit(0))["v"]
 
 
 def regexp_replace_first(column, pattern: str, replacement: str) -> Column:

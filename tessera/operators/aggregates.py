@@ -40,7 +40,7 @@ SIMPLE: dict[str, Callable[[str], str]] = {
     "list": lambda c: f"transform(collect_list(struct({c} as v)){OVER}, s -> s.v)",
     "max": lambda c: f"max({c})",
     "min": lambda c: f"min({c})",
-        "sum": lambda c: f"sum({c})",
+    "sum": lambda c: f"sum({c})",
     "median": lambda c: f"percentile({c}, 0.5)",
     "mode": lambda c: f"mode() within group (order by {c})",
     "stddev_pop": lambda c: f"stddev_pop({c})",
@@ -54,7 +54,7 @@ ALIASES = {"mean": "avg", "stddev": "stddev_samp", "std": "stddev_samp", "varian
 
 
 def product(c: str) -> str:
-    """Product of a column: the sign by parity, the size by logarithms would lose digits, so values multiply in order."""
+    """Product of a column's values in a window, multiplied in order. (Groups take `functions.product`, which keeps one number.)"""
     return f"aggregate(collect_list(cast({c} as double)){OVER}, 1D, (a, x) -> a * x)"
 
 
@@ -73,14 +73,16 @@ def string_agg(c: str, separator: str) -> str:
 
 
 def histogram(c: str) -> str:
-    """Value to count, in order of values."""
-    values = f"array_sort(collect_list({c}){OVER})"
-    return (
-        f"map_from_entries(transform(array_distinct({values}), v -> struct(v as key, size(filter({values}, w -> w = v)) as value)))"
-    )
+    """Value to count, in order of values: from one sort, by the places where a new value begins."""
+    starts = "filter(sequence(0, size(s)), i -> i < size(s) and (i = 0 or get(s, i) <> get(s, i - 1)))"
+    counts = "map_from_entries(transform(b, (p, k) -> struct(get(s, p) as key, coalesce(get(b, k + 1), size(s)) - p as value)))"
+    return f"get(transform(array(array_sort(collect_list({c}){OVER})), s -> get(transform(array({starts}), b -> {counts}), 0)), 0)"
 
 
 def bitstring(c: str, low: int, high: int) -> str:
+    """A 1 for each value from low to high that occurs: the zeros before each value of the sorted set, and those after the last."""
     if not (isinstance(low, int) and isinstance(high, int)) or low > high:
         raise InvalidInputException("bitstring_agg needs whole numbers min <= max")
-    return f"array_join(transform(sequence({low}, {high}), x -> if(array_contains(collect_set(cast({c} as bigint)){OVER}, x), '1', '0')), '')"
+    values = f"array_sort(collect_set(case when cast({c} as bigint) between {low} and {high} then cast({c} as bigint) end){OVER})"
+    ones = f"array_join(transform(s, (x, k) -> concat(repeat('0', cast(x - coalesce(get(s, k - 1), {low - 1}) - 1 as int)), '1')), '')"
+    return f"get(transform(array({values}), s -> concat({ones}, repeat('0', cast({high} - coalesce(get(s, size(s) - 1), {low - 1}) as int)))), 0)"

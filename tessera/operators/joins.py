@@ -2,24 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Most ranges that an order is cut to, and rows of the sample for each.
+MOST_BINS, SAMPLED = 1024, 32
 
-def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], columns: list[str], strict: bool = False) -> DataFrame:
+
+def bins(df: DataFrame, column: str, n: int | None = None) -> Column:
+    """The number of the range of a column's values that a row is in, smaller values in lower ranges, nulls in range 0.
+
+    There are about n (as many as shuffle partitions, if not given) of like size. Their bounds are drawn from a sample of
+    SAMPLED rows for each, which is all that the driver gets, and stand in the plan as constants: a task that runs again cuts alike.
+    """
+    n = min(MOST_BINS, n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kind = df.schema[column].dataType
+    values = df.select(F.col(f"`{column}`").alias("v")).filter("v is not null")
+    rows = values.count()
+    drawn = values.filter(F.rand(7) < F.lit(min(1.0, n * SAMPLED / max(rows, 1)))).select(F.col("v").cast("string")).collect()
+    if not drawn or n < 2:
+        return F.lit(0)
+    ordered = df.sparkSession.createDataFrame(drawn, "v string").select(F.col("v").cast(kind).alias("x"), "v").orderBy("x").collect()
+    bounds = list(dict.fromkeys(ordered[len(ordered) * i // n].v for i in range(1, n)))
+    width = max(1, int(len(bounds) ** 0.5))
+    cuts = [F.lit(v).cast(kind) for v in bounds]
+    own, every = F.col(f"`{column}`"), F.array(*cuts)
+
+    def not_above(values: Column) -> Column:
+        return F.size(F.filter(values, lambda b: b <= own))
+
+    group = not_above(F.array(*cuts[::width]))
+    return F.when(own.isNull() | (group == 0), 0).otherwise((group - 1) * width + not_above(F.slice(every, (group - 1) * width + 1, width)))
+
+
+def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], columns: list[str], strict: bool = False, n_bins: int | None = None) -> DataFrame:
     """left with the columns of right's latest row of the same key whose `on` isn't later (is earlier, if strict).
 
-    One shuffle by the keys: both sides are stacked, and each left row takes the last right value before it.
-    Of right rows of the same key and time, the one with the greatest columns counts.
+    Both sides are stacked and cut to ranges of time, so that the rows of one key are spread over tasks however many there are;
+    within a key's range each left row takes the last right value before it. Into each range goes one row more: the key's last
+    right value of the ranges before, of which there is at most one for each key and range.
+
+    Null keys meet null keys; a null `on` meets nothing, and its left row stays. Of right rows of the same key and time, the one with the greatest columns
+    counts. A right column that left has too is named with _asof.
     """
     keys = [F.col(k) for k in by]
     rest = [c for c in left.columns if c not in by and c != on]
     value = F.struct(*[F.col(c) for c in columns])
     a = left.select(*keys, F.col(on).alias("__on"), F.lit(0 if strict else 1).alias("__side"), F.struct(*rest).alias("__left") if rest else F.struct(F.lit(True)).alias("__left"), F.lit(None).cast(right.select(value).schema.fields[0].dataType).alias("__right"))
-    b = right.select(*keys, F.col(on).alias("__on"), F.lit(1 if strict else 0).alias("__side"), F.lit(None).cast(a.schema["__left"].dataType).alias("__left"), value.alias("__right"))
-    w = Window.partitionBy(*by).orderBy("__on", "__side", F.col("__right").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = a.union(b).withColumn("__last", F.last("__right", ignorenulls=True).over(w)).filter("__left is not null")
-    return both.select(*by, F.col("__on").alias(on), *([F.col(f"__left.`{c}`").alias(c) for c in rest]), *[F.col(f"__last.`{c}`").alias(f"{c}_asof" if c in left.columns else c) for c in columns])
+    b = right.filter(F.col(on).isNotNull()).select(*keys, F.col(on).alias("__on"), F.lit(1 if strict else 0).alias("__side"), F.lit(None).cast(a.schema["__left"].dataType).alias("__left"), value.alias("__right"))
+    both = a.union(b)
+    both = both.withColumn("__bin", bins(both, "__on", n_bins))
+    latest = both.filter("__right is not null or __left is not null").groupBy(*by, "__bin").agg(F.max(F.when(F.col("__right").isNotNull(), F.struct("__on", "__right"))).alias("__own"))
+    earlier = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    brought = latest.withColumn("__right", F.last("__own", ignorenulls=True).over(earlier)["__right"]).filter("__right is not null")
+    brought = brought.select(*by, F.lit(None).cast(both.schema["__on"].dataType).alias("__on"), F.lit(-1).alias("__side"), F.lit(None).cast(a.schema["__left"].dataType).alias("__left"), "__right", "__bin")
+    w = Window.partitionBy(*by, "__bin").orderBy("__on", "__side", F.col("__right").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.unionByName(brought).withColumn("__last", F.last("__right", ignorenulls=True).over(w)).filter("__left is not null")
+    return out.select(*by, F.col("__on").alias(on), *([F.col(f"__left.`{c}`").alias(c) for c in rest]), *[F.col(f"__last.`{c}`").alias(f"{c}_asof" if c in left.columns else c) for c in columns])
 
 
 def interval_join(left: DataFrame, right: DataFrame, left_at: str, right_from: str, right_to: str, by: list[str], width: float) -> DataFrame:
@@ -41,8 +80,8 @@ def positional_join(left: DataFrame, right: DataFrame, left_order: str, right_or
 
 
 def _placed(df: DataFrame, order: str) -> DataFrame:
-    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("n"), F.min("__id").alias("first"))
-    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    before = sizes.select("__part", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    return ranged.join(F.broadcast(before), "__part").withColumn("__place", F.col("before") + F.col("__id") - F.col("first")).drop("__part", "__id", "first", "before")
+    ranged = df.withColumn("__bin", bins(df, order))
+    earlier = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = ranged.groupBy("__bin").agg(F.count("*").alias("n")).select("__bin", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__bin").orderBy(order))
+    return ranged.withColumn("__within", within).join(F.broadcast(before), "__bin").withColumn("__place", F.col("__before") + F.col("__within")).drop("__bin", "__within", "__before")

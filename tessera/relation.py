@@ -231,7 +231,12 @@ class Relation:
         return self._aggregate_text([(f"arg_min({arg_column}, {value_column})", f"min_by({arg_column}, {value_column})")], groups, window_spec, projected_columns)
 
     def product(self, expression: str, groups: str = "", window_spec: str = "", projected_columns: str = "") -> Relation:
-        return self._aggregate_text([(f"product({expression})", aggregates.product(expression))], groups, window_spec, projected_columns)
+        name, keys = f"product({expression})", split_top(sql_text.expression(groups))
+        if window_spec or any(p not in split_top(groups) for p in split_top(projected_columns)):
+            return self._aggregate_text([(name, aggregates.product(expression))], groups, window_spec, projected_columns)
+        with translated():
+            out = self._df.groupBy(*[F.expr(k) for k in keys]).agg(F.product(F.expr(expression).cast("double")).alias(name))
+            return self._derive(out.select(*split_top(projected_columns), sql_text.quoted(name)), kind="AGGREGATE_RELATION")
 
     def bitstring_agg(self, expression: str, min: int | None = None, max: int | None = None, groups: str = "", window_spec: str = "", projected_columns: str = "") -> Relation:  # noqa: A002
         if (min is None) != (max is None):
@@ -451,12 +456,30 @@ class Relation:
     fetch_arrow_table = to_arrow_table
 
     def to_arrow_reader(self, batch_size: int = 1_000_000) -> Any:
-        return self.to_arrow_table().to_reader(max_chunksize=batch_size)
+        """Record batches as they are read: a partition's rows are with the driver at a time, never all of them."""
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        df = self._df
+        schema = to_arrow_schema(df.schema)
+
+        def batches() -> Iterator[Any]:
+            import pyarrow as pa
+
+            rows = iter(df.mapInArrow(_packed, "batch binary").toLocalIterator(prefetchPartitions=True))
+            for row in rows:
+                for batch in pa.ipc.open_stream(row.batch):
+                    for a in range(0, batch.num_rows, batch_size):
+                        part = batch.slice(a, batch_size)
+                        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(part.columns, schema)], schema=schema)
+
+        with translated():
+            return pa.RecordBatchReader.from_batches(schema, batches())
 
     arrow = fetch_record_batch = fetch_arrow_reader = to_arrow_reader
 
     def __arrow_c_stream__(self, requested_schema: Any = None) -> Any:
-        return self.to_arrow_table().__arrow_c_stream__(requested_schema)
+        return self.to_arrow_reader().__arrow_c_stream__(requested_schema)
 
     def df(self, *, date_as_object: bool = False) -> Any:
         with translated():
@@ -515,6 +538,17 @@ class Relation:
         return self._sql
 
 
+def _packed(batches: Iterator) -> Iterator:
+    """Each Arrow batch as one value of bytes."""
+    import pyarrow as pa
+
+    for batch in batches:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, batch.schema) as writer:
+            writer.write_batch(batch)
+        yield pa.record_batch([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
+
 def _braced(text: str) -> str:
     """Text whose braces stand for themselves where frames are filled in."""
     return text.replace("{", "{{").replace("}", "}}")

@@ -96,3 +96,20 @@ def test_module_functions(con):
     assert (tessera.apilevel, tessera.threadsafety, tessera.paramstyle) == ("2.0", 1, "qmark")
     with con.cursor() as other:
         assert other.execute("select 1").fetchone() == (1,)
+
+
+def test_reader_gives_batches_as_they_come(spark):
+    con = Connection(spark)
+    own = con.sql("SELECT id, cast(id AS VARCHAR) AS s, if(id % 2 = 0, null, id * 1.5) AS x FROM range(1000)")
+    reader = own.to_arrow_reader(100)
+    sizes = [b.num_rows for b in reader]
+    assert sum(sizes) == 1000 and max(sizes) <= 100
+    assert own.to_arrow_reader().read_all().sort_by("id") == own.to_arrow_table().cast(reader.schema).sort_by("id")
+    assert own.filter("id < 0").to_arrow_reader().read_all().num_rows == 0
+
+
+def test_unknown_settings_raise(spark):
+    con = Connection(spark)
+    con.execute("SET threads = 4")
+    with pytest.raises(Exception, match="no_such_setting"):
+        con.execute("SET no_such_setting = 3")

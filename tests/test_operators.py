@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tessera.errors import InvalidInputException
 from tessera.expression import CaseExpression, ColumnExpression, ConstantExpression, FunctionExpression, LambdaExpression, SQLExpression
 from tessera.functions import GROUPS, mode_first, names
-from tessera.operators.joins import asof_join, positional_join
+from tessera.operators.joins import asof_join, bins, positional_join
 from tessera.plans.tables import frame
 from tessera.streaming import events as E
 
@@ -73,3 +73,24 @@ def test_streams(spark, sf_dir, tmp_path):
     assert pairs.count() == own.count()
     E.write_each(E.read_events(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "check"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.count()
+
+
+def test_asof_of_a_hot_key(spark):
+    """One key holds most rows: its ranges of time are apart, and each knows the last value before it."""
+    left = spark.range(400).selectExpr("cast(if(id % 10 = 0, null, 1) as int) k", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, cast(id * 7 % 401 as int)) t", "id n").unionAll(spark.sql("SELECT 1, null, 1000L"))
+    right = spark.range(0, 400, 90).selectExpr("cast(if(id = 180, null, 1) as int) k", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, cast(id as int)) t", "id v").unionAll(spark.sql("SELECT 1, null, 999L"))
+    rows, values = left.collect(), right.collect()
+    for strict in (False, True):
+        want = {r.n: max(((v.t, v.v) for v in values if v.k == r.k and v.t is not None and r.t is not None and (v.t < r.t or v.t == r.t and not strict)), default=(None, None))[1] for r in rows}
+        for n in (1, 2, 60):
+            got = {r.n: r.v for r in asof_join(left, right, "t", ["k"], ["v"], strict, n).collect()}
+            assert got == want
+
+
+def test_ranges(spark):
+    df = spark.range(5000).selectExpr("id", "cast(if(id % 50 = 0, null, id * 13 % 5000 / 7) as double) x", "concat('s', id % 100) s", "timestamp_ntz'2024-03-31' + make_interval(0, 0, 0, 0, 0, cast(id as int)) t")
+    for column in ("id", "x", "s", "t"):
+        rows = sorted((r for r in df.select(column, bins(df, column, 50).alias("b")).collect() if r[0] is not None), key=lambda r: r[0])
+        assert [r.b for r in rows] == sorted(r.b for r in rows) and len({r.b for r in rows}) >= 40
+    assert df.filter("x is null").select(bins(df, "x", 50).alias("b")).distinct().collect() == [(0,)]
+    assert bool(df.limit(0).select(bins(df.limit(0), "x", 5)).collect()) is False
