@@ -55,7 +55,10 @@ def read_parquet(
     spark: SparkSession, path_or_buffer: Any, binary_as_string: bool = False, *, file_row_number: bool = False, filename: Any = False, hive_partitioning: bool | None = None, union_by_name: bool = False, compression: str | None = None,
 ) -> DataFrame:
     """Parquet files; filters and columns reach the scan."""
-    df = spark.read.option("mergeSchema", union_by_name).parquet(*gather(spark, path_or_buffer, ".parquet"))
+    reader = spark.read.option("mergeSchema", union_by_name)
+    if hive_partitioning is False:
+        reader = reader.option("recursiveFileLookup", True)
+    df = reader.parquet(*gather(spark, path_or_buffer, ".parquet"))
     if binary_as_string:
         df = df.select(*[F.col(f"`{f.name}`").cast("string").alias(f.name) if f.dataType == T.BinaryType() else F.col(f"`{f.name}`") for f in df.schema.fields])
     return with_file_options(df, filename, file_row_number)

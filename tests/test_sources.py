@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tessera.connection import Connection
-from tessera.errors import InvalidInputException
+from tessera.errors import InvalidInputException, NotImplementedException
 from tessera.sources.csv import java_pattern
 
 
@@ -88,3 +88,21 @@ def test_filesystems(con):
     con.unregister_filesystem("memo")
     with pytest.raises(InvalidInputException):
         con.unregister_filesystem("memo")
+
+
+def test_csv_rejects(con, tmp_path, spark):
+    path = put(tmp_path / "r.csv", "a,b\n1,x\nq,y\n3\n4,z,more\n5,w\n")
+    own = con.read_csv(path, header=True, dtype={"a": "INTEGER", "b": "VARCHAR"}, rejects_table="bad_lines", rejects_scan="scanned")
+    assert own.fetchall() == [(1, "x"), (5, "w")]
+    assert sorted(r.line for r in spark.table("bad_lines").collect()) == ["3", "4,z,more", "q,y"]
+    assert spark.table("scanned").collect()[0].file_path == path
+    assert con.read_csv(path, header=True, dtype={"a": "INTEGER"}, ignore_errors=True).fetchall() == [(1, "x"), (5, "w")]
+    for refused in ({"encoding_errors": "strict"}, {"compression": "gzip"}, {"hive_types_autocast": False}):
+        with pytest.raises(NotImplementedException):
+            con.read_csv(path, **refused)
+
+
+def test_skipped_lines_of_many_files(con, tmp_path):
+    for i in range(3):
+        put(tmp_path / f"{i}.csv", "junk\n" * 2 + f"{i},x\n" * 3)
+    assert sorted(con.read_csv(str(tmp_path), skiprows=2, header=False, sep=",").fetchall()) == [(i, "x") for i in range(3) for _ in range(3)]
