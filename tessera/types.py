@@ -191,12 +191,17 @@ def string_type(collation: str | None = None) -> T.StringType:
     return T.StringType(own) if own else T.StringType()
 
 
+def _name(text: str) -> str:
+    """A member's name, quoted where it isn't a plain word."""
+    return text if re.fullmatch(r"[A-Za-z_]\w*", text, re.A) else '"' + text.replace('"', '""') + '"'
+
+
 def type_name(kind: T.DataType) -> str:
     """A Spark type as text of this dialect."""
     if isinstance(kind, T.ArrayType):
         return type_name(kind.elementType) + "[]"
     if isinstance(kind, T.StructType):
-        return "STRUCT(" + ", ".join(f'"{f.name}" {type_name(f.dataType)}' for f in kind.fields) + ")"
+        return "STRUCT(" + ", ".join(f"{_name(f.name)} {type_name(f.dataType)}" for f in kind.fields) + ")"
     if isinstance(kind, T.MapType):
         return f"MAP({type_name(kind.keyType)}, {type_name(kind.valueType)})"
     if isinstance(kind, T.DecimalType):

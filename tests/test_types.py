@@ -15,7 +15,8 @@ def test_factories():
     assert X.python_type(list[int]) == T.ArrayType(T.LongType())
     assert X.python_type(dict[str, float]) == T.MapType(T.StringType(), T.DoubleType())
     assert X.python_type(int | None) == T.LongType()
-    assert X.type_name(X.sqltype("STRUCT(a INT[], b DECIMAL(4,1))")) == 'STRUCT("a" INTEGER[], "b" DECIMAL(4,1))'
+    assert X.type_name(X.sqltype("STRUCT(a INT[], b DECIMAL(4,1))")) == "STRUCT(a INTEGER[], b DECIMAL(4,1))"
+    assert X.type_name(X.struct_type({"1": "INTEGER", "a b": "DATE"})) == 'STRUCT("1" INTEGER, "a b" DATE)'
     assert X.enum_type("e", ["x", "y"]).metadata == {"enum": ["x", "y"]}
     for bad in ("NOTHING", "STRUCT(1)", "DECIMAL(50,2)"):
         with pytest.raises(InvalidInputException):
