@@ -50,7 +50,7 @@ _rel("coalesce_null", "events", lambda r: r.select(C("event_id"), CoalesceOperat
 _rel("cast_types", "lineitem", lambda r: r.select(C("l_orderkey").cast("INTEGER").alias("k"), C("l_quantity").cast("BIGINT").alias("q"), C("l_linenumber").cast("VARCHAR").alias("n"), C("l_discount").cast("DECIMAL(10,2)").alias("d")), "SELECT l_orderkey::INTEGER AS k, l_quantity::BIGINT AS q, l_linenumber::VARCHAR AS n, l_discount::DECIMAL(10,2) AS d FROM lineitem")
 _rel("cast_sql_syntax", "lineitem", lambda r: r.project("l_orderkey::INTEGER as k, cast(l_linenumber as VARCHAR) as n"), "SELECT l_orderkey::INTEGER AS k, l_linenumber::VARCHAR AS n FROM lineitem")
 _rel("collate_nocase", "part", lambda r: r.filter(C("p_type").collate("NOCASE") == ConstantExpression("economy")).project("p_partkey"), "SELECT p_partkey FROM part WHERE lower(p_type) = 'economy'")
-_rel("lambda_expression", "embeddings", lambda r: r.select(C("vec_id"), FunctionExpression("list_transform", SQLExpression("slice(embedding, 1, 2)"), LambdaExpression("x", C("x") + 1)).alias("v")), "SELECT vec_id, list_transform(embedding[1:2], lambda x: x::DOUBLE + 1) AS v FROM embeddings")
+_rel("lambda_expression", "embeddings", lambda r: r.select(C("vec_id"), FunctionExpression("list_transform", SQLExpression("embedding"), LambdaExpression("x", C("x") + 1)).alias("v")), "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE + 1) AS v FROM embeddings")
 _rel("column_by_name", "orders", lambda r: r["o_orderkey"], "SELECT o_orderkey FROM orders")
 
 # --- joins
@@ -158,6 +158,8 @@ _agg("var_samp", "l_quantity", "round(var_samp(l_quantity), 5)", post="round({},
 _agg("variance", "l_tax", "round(variance(l_tax), 6)", post="round({}, 6)")
 _rel("agg_first", "nation", lambda r: r.project("n_regionkey, n_name, n_nationkey").aggregate("n_regionkey, min_by(n_name, n_nationkey) as v", "n_regionkey"), "SELECT n_regionkey, first(n_name ORDER BY n_nationkey) AS v FROM nation GROUP BY n_regionkey")
 _rel("agg_last", "nation", lambda r: r.project("n_regionkey, n_name, n_nationkey").aggregate("n_regionkey, max_by(n_name, n_nationkey) as v", "n_regionkey"), "SELECT n_regionkey, last(n_name ORDER BY n_nationkey) AS v FROM nation GROUP BY n_regionkey")
+for _name in ("first", "last", "any_value"):  # of equal values: which row comes first isn't said
+    _rel(f"agg_{_name}_of_equal", "nation", lambda r, n=_name: getattr(r.project("n_regionkey, n_regionkey * 2 as v"), n)("v", "n_regionkey", projected_columns="n_regionkey").project(f"n_regionkey, `{n}(v)` as v"), "SELECT n_regionkey, n_regionkey * 2 AS v FROM nation GROUP BY n_regionkey")
 _rel("agg_value_counts", "orders", lambda r: r.project("nullif(o_orderstatus, 'P') as s").value_counts("s").project("s, `count(s)` as n"), "SELECT s, count(s) AS n FROM (SELECT nullif(o_orderstatus, 'P') AS s FROM orders) GROUP BY s")
 _rel("agg_unique", "orders", lambda r: r.unique("o_orderstatus, o_orderpriority"), "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
 _rel("agg_corr", "lineitem", lambda r: r.aggregate("round(corr(l_quantity, l_extendedprice), 6) as c, round(covar_pop(l_quantity, l_tax), 6) as p, round(covar_samp(l_quantity, l_tax), 6) as s"), "SELECT round(corr(l_quantity, l_extendedprice), 6) AS c, round(covar_pop(l_quantity, l_tax), 6) AS p, round(covar_samp(l_quantity, l_tax), 6) AS s FROM lineitem")
