@@ -88,9 +88,17 @@ def test_asof_of_a_hot_key(spark):
 
 
 def test_ranges(spark):
-    df = spark.range(5000).selectExpr("id", "cast(if(id % 50 = 0, null, id * 13 % 5000 / 7) as double) x", "concat('s', id % 100) s", "timestamp_ntz'2024-03-31' + make_interval(0, 0, 0, 0, 0, cast(id as int)) t")
-    for column in ("id", "x", "s", "t"):
+    df = spark.range(5000).selectExpr("id", "cast(if(id % 50 = 0, null, id * 13 % 5000 / 7) as double) x", "concat('s', id % 100) s", "timestamp_ntz'2024-03-31' + make_interval(0, 0, 0, 0, 0, cast(id as int)) t", "timestamp'2024-03-31' + make_interval(0, 0, 0, 0, 0, cast(id as int)) z")
+    for column in ("id", "x", "s", "t", "z"):
         rows = sorted((r for r in df.select(column, bins(df, column, 50).alias("b")).collect() if r[0] is not None), key=lambda r: r[0])
         assert [r.b for r in rows] == sorted(r.b for r in rows) and len({r.b for r in rows}) >= 40
     assert df.filter("x is null").select(bins(df, "x", 50).alias("b")).distinct().collect() == [(0,)]
-    assert bool(df.limit(0).select(bins(df.limit(0), "x", 5)).collect()) is False
+    assert bins(df.limit(0), "x", 5) is None and bins(df.filter("x is null"), "x", 5) is None and bins(df, "id") is None
+
+
+def test_positions_over_many_ranges(spark, monkeypatch):
+    from tessera.operators import joins
+
+    monkeypatch.setattr(joins, "BIN_ROWS", 10)
+    both = positional_join(spark.range(300).repartition(7), spark.range(200, 460).toDF("b").repartition(3), "id", "b").collect()
+    assert sorted((r.id, r.b) for r in both if r.b is not None) == [(i, 200 + i) for i in range(260)] and len(both) == 300
