@@ -463,11 +463,18 @@ class Relation:
         df = self._df
         schema = to_arrow_schema(df.schema)
 
-        def batches() -> Iterator[Any]:
+        def packed(own: Iterator) -> Iterator:
+            """Each Arrow batch as one value of bytes. (Not of the module, so that workers needn't have it.)"""
             import pyarrow as pa
 
-            rows = iter(df.mapInArrow(_packed, "batch binary").toLocalIterator(prefetchPartitions=True))
-            for row in rows:
+            for batch in own:
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, batch.schema) as writer:
+                    writer.write_batch(batch)
+                yield pa.record_batch([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
+        def batches() -> Iterator[Any]:
+            for row in df.mapInArrow(packed, "batch binary").toLocalIterator(prefetchPartitions=True):
                 for batch in pa.ipc.open_stream(row.batch):
                     for a in range(0, batch.num_rows, batch_size):
                         part = batch.slice(a, batch_size)
@@ -538,17 +545,6 @@ class Relation:
         return self._sql
 
 
-def _packed(batches: Iterator) -> Iterator:
-    """Each Arrow batch as one value of bytes."""
-    import pyarrow as pa
-
-    for batch in batches:
-        out = pa.BufferOutputStream()
-        with pa.ipc.new_stream(out, batch.schema) as writer:
-            writer.write_batch(batch)
-        yield pa.record_batch([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["batch"])
-
-
 def _braced(text: str) -> str:
     """Text whose braces stand for themselves where frames are filled in."""
     return text.replace("{", "{{").replace("}", "}}")
