@@ -48,3 +48,27 @@ def test_scripts_and_parameters():
 def test_unions_by_name():
     assert S.by_name("select 1 union all by name select 2 union by name select 3") == (["select 1", "select 2", "select 3"], [True, False])
     assert S.by_name("select 1 union all select 2") is None and S.by_name("select 'union by name'") is None
+
+
+@pytest.mark.parametrize(
+    "given, want",
+    [
+        ("select a, k from t, lateral (select k from u where u.a = t.a order by x desc, k limit 2)", "select a, k from t, lateral (SELECT * EXCEPT (__order0) FROM (select k, x AS __order0 from u where u.a = t.a order by __order0 desc NULLS LAST, k ASC NULLS LAST limit 2))"),
+        ("select (select x + y z from u where u.a = t.a order by y, 1 desc, z limit 1) from t", "select (SELECT * EXCEPT (__order0) FROM (select x + y z, y AS __order0 from u where u.a = t.a order by __order0 ASC NULLS LAST, 1 desc NULLS LAST, z ASC NULLS LAST limit 1)) from t"),
+        ("select * from (select u.a, f(b) as b from u order by a, b limit 2)", "select * from (select u.a, f(b) as b from u order by a ASC NULLS LAST, b ASC NULLS LAST limit 2)"),
+        ("select * from (select distinct a from u order by a + 1 limit 2)", "select * from (select distinct a from u order by a + 1 ASC NULLS LAST limit 2)"),
+    ],
+)
+def test_a_query_in_brackets_selects_what_its_limit_goes_by(given, want):
+    assert squeezed(S.spark_sql(given)) == want
+
+
+@pytest.mark.parametrize("form", ["SELECT c_custkey, o_orderkey FROM customer, LATERAL ({}2)", "SELECT c_custkey, ({}1) AS o FROM customer"])
+def test_a_correlated_limit_keeps_its_order(spark, sf_dir, form):
+    from tessera.plans.tables import views
+
+    text = form.format("SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT ")
+    plan = views(spark, sf_dir, "customer orders").sql(text).dataframe._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(o_custkey" in plan
+    ordered = next(x for x in plan.splitlines() if "row_number() windowspec" in x)
+    assert " DESC NULLS LAST" in ordered and " ASC NULLS LAST" in ordered
