@@ -18,6 +18,7 @@ and whole; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,12 +199,27 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: st
             yield pa.record_batch([column(block, "__id"), column(block, "lang"), column(block, "label").cast(pa.int64()), pa.array(data, pa.binary())], names=["id", "lang", "label", "words"])
 
     id_type = found.schema["__id"].dataType.simpleString()
-    got = found.transform(mapped, buckets, f"id {id_type}, lang string, label long, words binary").toArrow().sort_by("id")
+    words = found.transform(mapped, buckets, f"id {id_type}, lang string, label long, words binary")
+    # one task fits, so that the driver holds the model only
+    got = words.repartition(1).transform(mapped, _fit, "model binary").toArrow().column("model")
+    return pickle.loads(got[0].as_py()) if len(got) else _fitted(None)
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows, pickled."""
+    held = list(batches)
+    model = _fitted(pa.Table.from_batches(held) if held else None)
+    yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+
+def _fitted(rows: pa.Table | None) -> Model:
+    """A model of rows (id, lang, label, words), in the order of their ids."""
+    model = Model()
+    got = rows.sort_by("id") if rows is not None else pa.table({"lang": pa.array([], pa.string()), "label": pa.array([], pa.int64()), "words": pa.array([], pa.binary())})
     words = [np.frombuffer(x.as_py(), np.uint32) for x in column(got, "words")]
     y = column(got, "label").to_numpy().astype(np.float32)
     counts = np.array([len(w) for w in words], np.int64)
     langs = column(got, "lang").to_pylist()
-    model = Model()
     aside = np.arange(len(words)) % 5 == 4
     flat = lambda keep: np.concatenate([words[i] for i in np.flatnonzero(keep)] or [np.empty(0, np.uint32)])
     model.fit(flat(~aside), counts[~aside], y[~aside])

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tessera.llm import toxicity
 
@@ -130,3 +131,16 @@ def test_gradients():
     up = loss()
     model.offset -= 2 * eps
     assert offset == pytest.approx((up - loss()) / (2 * eps), abs=1e-3)
+
+
+def test_the_driver_gets_the_model_only(labelled, monkeypatch):
+    """Training runs in a task: nothing is fitted here, and the columns of the sample don't come back."""
+    def here(*_):
+        raise AssertionError("fitted on the driver")
+
+    got, collect = [], DataFrame.toArrow
+    monkeypatch.setattr(toxicity.Model, "fit", here)
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: got.append(collect(self)) or got[-1])
+    model = toxicity.train(*labelled)
+    assert [(t.column_names, t.num_rows) for t in got] == [(["model"], 1)]
+    assert model.tables.any() and model.offset
